@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import hotkeys, orphans, packed, periods
+from strandline.operators import hierarchy, hotkeys, orphans, packed, periods
 from strandline.session import ship, table
 from strandline.sources import gff3_rows
 
@@ -31,6 +31,21 @@ def p1_rollup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return hierarchy.depths(table(spark, d, "features"), "file_id", "id", "parent", least=4)
+
+
+def p2_paths(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return hierarchy.nested_sets(table(spark, d, "features"), "file_id", "id", "parent")
+
+
+def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return hierarchy.descendants(table(spark, d, "features"), "file_id", "id", "parent")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return gff3_rows.rejected(table(spark, d, "raw_gff3"), "line_id")
 
@@ -79,7 +94,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rollup, p3_found, p3_loaded, p4_found, p4_values, p5_found, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rollup, p2_found, p2_paths, p2_descendants, p3_found, p3_loaded, p4_found, p4_values, p5_found, p6_found, p6_report)}
 
 _VALUES = r"""list_filter(list_transform(regexp_extract_all({c}, '"[^"]*"|''[^'']*''|[^ \t,;|/]+'),
   lambda t: CASE WHEN length(t) >= 2 AND ((starts_with(t, '"') AND ends_with(t, '"')) OR (starts_with(t, '''') AND ends_with(t, ''''))) THEN t[2:-2] ELSE t END), lambda t: t <> '')"""
@@ -103,7 +118,31 @@ WITH refs AS (
 ), found AS (SELECT * FROM judged WHERE reason IS NOT NULL)
 """
 
+_P2 = rf"""
+WITH RECURSIVE n AS (SELECT DISTINCT coalesce(file_id, '') AS f, id FROM features WHERE id IS NOT NULL),
+v AS (SELECT DISTINCT coalesce(file_id, '') AS f, id AS c, unnest({_VALUES.format(c="parent")}) AS p FROM features WHERE id IS NOT NULL AND parent IS NOT NULL),
+l AS (SELECT v.f, v.c, v.p FROM v SEMI JOIN n ON v.f = n.f AND v.p = n.id),
+r AS (SELECT f, c, p FROM l UNION SELECT r.f, r.c, l.p FROM r JOIN l ON r.f = l.f AND r.p = l.c),
+cyc AS (SELECT DISTINCT f, c AS id FROM r WHERE c = p),
+bad AS (SELECT f, id FROM cyc UNION SELECT r.f, r.c FROM r SEMI JOIN cyc ON r.f = cyc.f AND r.p = cyc.id),
+"""
+
 ORACLE = {
+    "p2_found": _P2
+    + """
+ok AS (SELECT l.* FROM l ANTI JOIN bad ON l.f = bad.f AND l.c = bad.id),
+d AS (SELECT f, c, p, 1 AS k FROM ok UNION SELECT d.f, d.c, ok.p, d.k + 1 FROM d JOIN ok ON d.f = ok.f AND d.p = ok.c)
+SELECT nullif(f, '') AS file_id, c AS feature_id, p AS root_id, CAST(max(k) AS INTEGER) AS depth
+FROM d ANTI JOIN l ON d.f = l.f AND d.p = l.c GROUP BY ALL HAVING max(k) >= 4
+UNION ALL
+SELECT nullif(a.f, ''), a.c, min(a.p), -1 FROM r a JOIN r b ON a.f = b.f AND a.c = b.p AND a.p = b.c
+WHERE (a.f, a.c) IN (SELECT (f, id) FROM cyc) GROUP BY a.f, a.c""",
+    "p2_descendants": _P2
+    + """
+ok AS (SELECT l.* FROM l ANTI JOIN bad ON l.f = bad.f AND l.c = bad.id),
+d AS (SELECT f, c, p, 1 AS k FROM ok UNION SELECT d.f, d.c, ok.p, d.k + 1 FROM d JOIN ok ON d.f = ok.f AND d.p = ok.c)
+SELECT nullif(f, '') AS file_id, p AS feature_id, c AS descendant_id, CAST(min(k) AS INTEGER) AS distance FROM d GROUP BY ALL""",
+
     "p1_found": """
 SELECT seqid, locus_id FROM (
   SELECT seqid, locus_id, row_number() OVER (PARTITION BY seqid ORDER BY effective_length DESC, locus_id) AS rn

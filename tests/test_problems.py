@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import hotkeys, orphans, packed, periods
+from strandline.operators import hierarchy, hotkeys, orphans, packed, periods
 from strandline.sources import gff3_rows
 from tests import plain
 
@@ -36,6 +36,57 @@ def test_top_k_doubles_and_empty(spark):
     assert rows(hotkeys.rollup_per_key(df, "k", n=F.count("v"))) == [("a", 3), ("b", 0)]
 
 
+# 2
+def _links(data):
+    nodes = {(f, i) for f, i, _, _ in data if i is not None}
+    return nodes, {((f, i), (f, v)) for f, i, p, _ in data if i is not None for v in plain.packed_values(p) if (f, v) in nodes}
+
+
+@pytest.mark.parametrize("group_rows", [1_000_000, 0])
+def test_hierarchy(spark, group_rows):
+    rnd = random.Random(7)
+    data = [("f", None, "a", 0), ("f", "", None, 0), (None, "a", "b", 0), (None, "b", None, 0), ("h", "self", "self", 0), ("h", "x y", "'x y';self", 0)]
+    for f, n in (("f", 60), ("g", 25)):
+        for i in range(n):
+            p = [f"n{rnd.randrange(max(0, i - 6), i)}" for _ in range(rnd.choice([1, 1, 2]))] if i and rnd.random() < 0.9 else []
+            if rnd.random() < 0.06:
+                p.append(f"n{min(n - 1, i + rnd.randrange(5))}")
+            data.append((f, f"n{i}", rnd.choice([",", " | ", ";"]).join([*p, "nowhere"]) if p else None, i))
+    data += data[:30]
+    df = spark.createDataFrame(data, "file_id string, id string, parent string, depth int").repartition(3)
+    nodes, links = _links(data)
+    key = {x: f"{x[0]}/{x[1]}" for x in nodes}
+    want = sorted((c, r, k) for c, r, k in plain.hierarchy({(key[c], key[p]) for c, p in links}, set(key.values())))
+    got = [(f"{r.file_id}/{r.feature_id}", f"{r.file_id}/{r.root_id}", r.depth) for r in hierarchy.depths(df, "file_id", "id", "parent", group_rows=group_rows).collect()]
+    assert sorted(got) == want
+    assert rows(hierarchy.depths(df.where("false"), "file_id", "id", "parent", group_rows=group_rows)) == []
+
+
+def test_nested_sets(spark):
+    data = [("f", "r", None), ("f", "a", "r"), ("f", "b", "r,a"), ("f", "c", "b"), ("f", "z", "z")]
+    df = spark.createDataFrame(data, "file_id string, id string, parent string")
+    sets = hierarchy.nested_sets(df, "file_id", "id", "parent").collect()
+    assert sorted(s.path for s in sets) == ["r", "r>a", "r>a>b", "r>a>b>c", "r>b", "r>b>c"]
+    for x in sets:
+        below = sum(x.lft < y.lft <= x.rgt for y in sets)
+        assert below == x.n_below == sum(y.path.startswith(x.path + ">") for y in sets)
+    got = hierarchy.descendants(df, "file_id", "id", "parent")
+    assert rows(got) == [("f", "a", "b", 1), ("f", "a", "c", 2), ("f", "b", "c", 1), ("f", "r", "a", 1), ("f", "r", "b", 1), ("f", "r", "c", 2)]
+
+
+def test_dense_chains():
+    import numpy as np
+
+    child, parent = [], []
+    for k in range(40):  # 2 ** 40 chains
+        a, b, c, d = 3 * k, 3 * k + 1, 3 * k + 2, 3 * k + 3
+        child += [b, c, d, d]
+        parent += [a, a, b, c]
+    f = hierarchy.Forest(121, np.array(child), np.array(parent))
+    node, root, depth = f.depths()
+    assert len(node) == 121 and set(root.tolist()) == {0} and depth.max() == 80
+
+
 # 3
 LINES = [
     None, "", "   ", "#c\tx", "\r", "##gff-version 3",
