@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import encode
+from strandline.llm import encode, packing
 from strandline.session import ship, table
 
 
@@ -19,5 +20,22 @@ def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return encode.encoded(table(spark, d, "documents"), "doc_id", "text", mode="check")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_roundtrip)}
+#: Tokens of a container.
+CAPACITY = 2048
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of one longer than a container, with the container that holds it."""
+    ship(spark)
+    docs = table(spark, d, "documents")
+    return packing.fill_containers(encode.encoded(docs, "doc_id", "text", mode="count"), "doc_id", "n_tokens", CAPACITY, docs.count())
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers are filled to which hundredth."""
+    used = p8_containers(spark, d).where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    return used.groupBy(F.floor(F.col("n") * 100 / CAPACITY).cast("int").alias("percent")).agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_tokens"))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p7_roundtrip, p8_containers, p8_fill)}
 ORACLE: dict[str, str] = {}
