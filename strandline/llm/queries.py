@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import encode, packing
+from strandline.llm import encode, packing, spam
 from strandline.session import ship, table
 
 
@@ -37,5 +37,17 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return used.groupBy(F.floor(F.col("n") * 100 / CAPACITY).cast("int").alias("percent")).agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_roundtrip, p8_containers, p8_fill)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return spam.spam_pages(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_suspects(spark: SparkSession, d: str) -> DataFrame:
+    """Outliers toward spam with their distance and share, before the exact check."""
+    ship(spark)
+    found = spam.suspects(spam.written_features(table(spark, d, "documents"), "doc_id", "text"))
+    return found.select(F.col("key").alias("doc_id"), "language", F.round("distance", 6).alias("distance"), F.round("share", 6).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p7_roundtrip, p8_containers, p8_fill, p9_found, p9_suspects)}
 ORACLE: dict[str, str] = {}
