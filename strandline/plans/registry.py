@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import problems
+from strandline.plans import loci_queries, problems
+
+_CATALOGS = (loci_queries.C,)
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    out = dict(problems.QUERIES)
+    for c in _CATALOGS:
+        out |= c.queries
+    return out
 
 
 def oracle() -> dict[str, str]:
-    return dict(problems.ORACLE)
+    out = dict(problems.ORACLE)
+    for c in _CATALOGS:
+        out |= c.oracle
+    return out
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p5_found(spark, sf_dir)
+    """iLoci of the model genes: merged, extended by delta, with the loci between them."""
+    return loci_queries.locus_extend(spark, sf_dir)
