@@ -80,10 +80,13 @@ def _(spark, d):
     return O.without_trees(_f(spark, d), A.get("attributes", "gene_biotype") == "ncRNA").select("file_id", "line_no")
 
 
-@C.add("filter_id", W("feats") + " SELECT DISTINCT f.file_id, f.id FROM feats f SEMI JOIN (SELECT DISTINCT piLocusID FROM ilocus_mrnas) x ON true WHERE f.parent IS NULL AND f.accession IN (SELECT MrnaID FROM ilocus_mrnas) AND f.id IS NOT NULL")
+@C.add("filter_id", W("feats") + f""", w AS (SELECT DISTINCT file_id, unnest({_VALUES.format(c="parent")}) AS id FROM feats WHERE type = 'mRNA' AND accession IN (SELECT trim(MrnaID, ' ' || chr(9)) FROM ilocus_mrnas))
+SELECT f.file_id, f.line_no, f.id FROM feats f SEMI JOIN w ON w.file_id = f.file_id AND w.id = f.id WHERE f.parent IS NULL""")
 def _(spark, d):
-    wanted = table(spark, d, "ilocus_mrnas").select(F.col("MrnaID").alias("accession")).where("accession IS NOT NULL").distinct()
-    return V.features(spark, d).where("parent IS NULL AND id IS NOT NULL").join(wanted, "accession", "left_semi").select("file_id", "id").distinct()
+    f = V.features(spark, d)
+    known = table(spark, d, "ilocus_mrnas").select(F.btrim("MrnaID", F.lit(" \t")).alias("accession")).where("accession IS NOT NULL").distinct()
+    wanted = f.where("type = 'mRNA'").join(known, "accession", "left_semi").select("file_id", F.explode(values_of("parent")).alias("id")).distinct()
+    return f.where("parent IS NULL").join(wanted, ["file_id", "id"], "left_semi").select("file_id", "line_no", "id")
 
 
 @C.add("filter_pattern", "SELECT line_id FROM raw_gff3 WHERE line IS NOT NULL AND NOT regexp_matches(line, 'odor receptor|(?:^|\\t)QW_00000[0-4]|draft')")

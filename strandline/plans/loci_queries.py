@@ -152,10 +152,10 @@ def _(spark, d):
 
 
 @C.add("uloci", """SELECT seqid, min("start") AS "start", max("end") AS "end", 'fiLocus' AS ilocus_type, true AS unannot FROM regions
-WHERE seqid IS NOT NULL AND "start" <= "end" AND seqid NOT IN (SELECT seqid FROM features WHERE type = 'gene' AND seqid IS NOT NULL) GROUP BY seqid""")
+WHERE seqid IS NOT NULL AND "start" <= "end" AND seqid NOT IN (SELECT seqid FROM features WHERE type = 'pseudogene' AND seqid IS NOT NULL) GROUP BY seqid""")
 def _(spark, d):
     r = intervals.bounding(spark.read.parquet(f"{d}/regions.parquet").where("seqid IS NOT NULL AND start <= end"), ["seqid"])
-    return loci.without_genes(r, spark.read.parquet(f"{d}/features.parquet").where("type = 'gene' AND seqid IS NOT NULL"))
+    return loci.without_genes(r, spark.read.parquet(f"{d}/features.parquet").where("type = 'pseudogene' AND seqid IS NOT NULL"))
 
 
 @C.add("lpdriver", W("genes") + _extended() + f""",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import feature_queries, loci_queries, problems
+from strandline.plans import feature_queries, loci_queries, model_queries, problems, summary_queries
 
-_CATALOGS = (loci_queries.C, feature_queries.C)
+_CATALOGS = (loci_queries.C, feature_queries.C, model_queries.C, summary_queries.C)
 
 
 def queries() -> dict:
