@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.lines import carried
+
+#: Lines of a file that one task numbers or attributes to headers; more are settled by one summary row for each so many.
+LINES = 1 << 18
+
 # Metrics, operators and sources of a locus filter file.
 _METRICS = {"LocusLength": ("length",), "GeneCount": ("genes",), "TranscriptCount": ("mrnas",), "ExonCount": ("exons",), "CDSLength": ("cds",)}
 _OPERATORS = (">", ">=", "<", "<=", "=", "<>")
@@ -59,8 +64,8 @@ def regions(lines: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
 
 def fasta(lines: DataFrame) -> DataFrame:
     """file, defline, seqid, seq of FASTA lines (file, line_no, line): records are the runs from one > to the next."""
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = lines.withColumn("line", F.regexp_replace("line", r"\r$", "")).withColumn("_r", F.max(F.when(F.startswith("line", F.lit(">")), F.col("line_no"))).over(w)).where("_r IS NOT NULL")
+    x = lines.withColumn("line", F.rtrim("line", F.lit("\r")))
+    x = carried(x, ["file"], ["line_no"], F.startswith("line", F.lit(">")), "_h", cell=LINES).withColumn("_r", F.col("_h.line_no")).where("_r IS NOT NULL")
     per = x.groupBy("file", "_r").agg(F.max(F.when(F.col("line_no") == F.col("_r"), F.col("line"))).alias("d"), F.array_sort(F.collect_list(F.when(F.col("line_no") > F.col("_r"), F.struct("line_no", "line")))).alias("s"))
     name = F.substring("d", F.lit(2), F.length("d"))
     return per.select("file", name.alias("defline"), F.get(F.split(name, r"\s+"), F.lit(0)).alias("seqid"), F.array_join(F.transform("s", lambda r: r["line"]), "").alias("seq"))
@@ -68,13 +73,14 @@ def fasta(lines: DataFrame) -> DataFrame:
 
 def clusters(lines: DataFrame) -> DataFrame:
     """file, cluster_id, idx, length, defline, species, accession of cluster listings: a header line, then its members."""
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = F.startswith("line", F.lit(">Cluster "))
-    x = lines.withColumn("_h", F.max(F.when(head, F.struct("line_no", F.expr("substring(line, 10)").alias("id")))).over(w)).where(~head & F.col("_h").isNotNull() & (F.btrim("line") != ""))
+    x = carried(lines, ["file"], ["line_no"], head, "_h", cell=LINES).withColumn("_head", F.col("_h.line_no"))
+    names = lines.where(head).select("file", F.col("line_no").alias("_head"), F.btrim(F.expr("substring(line, 10)")).alias("cluster_id"))
+    x = x.where(~head & F.col("_head").isNotNull() & (F.btrim("line") != "")).join(names, ["file", "_head"])
     v = F.split("line", r"\s+")
     name = F.get(v, F.lit(2))
     return x.select(
-        "file", F.btrim("_h.id").alias("cluster_id"), F.get(v, F.lit(0)).try_cast("int").alias("idx"), F.regexp_replace(F.get(v, F.lit(1)), "aa,$|nt,$", "").try_cast("int").alias("length"),
+        "file", "cluster_id", F.get(v, F.lit(0)).try_cast("int").alias("idx"), F.regexp_replace(F.get(v, F.lit(1)), "aa,$|nt,$", "").try_cast("int").alias("length"),
         name.alias("defline"), F.get(F.split(name, r"\|"), F.lit(1)).alias("species"), F.regexp_replace(F.get(F.split(name, r"\|"), F.lit(2)), r"\.\.\.$", "").alias("accession"),
     )
 
