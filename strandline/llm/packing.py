@@ -24,6 +24,8 @@ ISLANDS = 3
 POPULATION = 6
 GENERATIONS = 10
 EPOCHS = 2
+#: Most tasks that the islands of one epoch are spread over.
+TASKS = 4096
 #: Containers filled less than this are emptied and packed once more across shards.
 LOOSE = 0.97
 
@@ -198,7 +200,8 @@ def _packed(items: DataFrame, shards: int, capacity: int, loose: float) -> DataF
     for epoch in range(EPOCHS):
         if epoch:
             state = state.groupBy("shard").applyInArrow(_migrate, _STATE)
-        state = state.repartition("shard", "island").mapInArrow(_epoch(capacity, epoch), _STATE)
+        # a few islands a task, however small their rows: evolving is what takes time, and adaptive coalescing goes by size
+        state = state.repartition(max(1, min(shards * ISLANDS // 8, TASKS)), "shard", "island").mapInArrow(_epoch(capacity, epoch), _STATE)
     return state.groupBy("shard").applyInArrow(_best(capacity, loose), "shard bigint, doc bigint, piece int, n_tokens int, bin int, loose boolean")
 
 
