@@ -28,7 +28,8 @@ def by_sequence(seqs: DataFrame, *, k: int = 5, bands: int = 12, rows: int = 2,
     d = seqs.where("seqid IS NOT NULL AND seq IS NOT NULL AND length(seq) > 0").groupBy("seq").agg(F.min("seqid").alias("rep"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("seq") - (k - 1), F.lit(1))), lambda i: F.substring(F.col("seq"), i, F.lit(k)))
     h = d.withColumn("g", F.array_distinct(grams))
-    sig = F.array(*[F.array_min(F.transform("g", lambda g, i=i: F.xxhash64(g, F.lit(i)))) for i in range(bands * rows)])
+    least_hash = lambda i: F.array_min(F.transform("g", lambda g: F.xxhash64(g, F.lit(i))))
+    sig = F.array(*[least_hash(i) for i in range(bands * rows)])
     h = written(h.select("seq", "rep", sig.alias("sig")), "minima")
     banded = h.select("rep", "sig", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(*[F.col("sig")[b * rows + r] for r in range(rows)]).alias("h")) for b in range(bands)])).alias("x"))
     banded = banded.select("rep", "sig", "x.b", "x.h")

@@ -158,7 +158,8 @@ def pairs_of(row: dict) -> list[dict]:
         for clique in cliques(ranges):
             segs[tuple(sorted(clique))] = [s for g in clique for s in _code_at(by[g], lo, hi)]
         sides.append(segs)
-    scored = sorted(((-_agreeing(a, b, lo, hi), r, p) for r, a in sides[0].items() for p, b in sides[1].items()))
+    # of pairs that agree alike, those of more transcripts come first, then the smaller ids
+    scored = sorted(((-_agreeing(a, b, lo, hi), r, p) for r, a in sides[0].items() for p, b in sides[1].items()), key=lambda x: (x[0], -len(x[1]) - len(x[2]), x[1], x[2]))
     used_r: set[int] = set()
     used_p: set[int] = set()
     out = []

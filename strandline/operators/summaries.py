@@ -13,15 +13,18 @@ MERGED_TYPES = (*GENE_TYPES, "miLocus")
 ENOUGH = 20
 
 
-def composition(seq: Column, digits: int = 6) -> dict[str, Column]:
-    shown = lambda x: F.round(x + 1e-9, digits)  # noqa: E731  (halves are rounded up whatever their binary form)
-    return {"GCContent": shown(Q.gc_content(seq)), "GCSkew": shown(Q.gc_skew(seq)), "NContent": shown(Q.n_content(seq))}
+def composition(counts: str, length: Column, digits: int = 6) -> dict[str, Column]:
+    """GC content, GC skew and share of N from a struct of letter counts; 0 where there is nothing to divide by."""
+    n = lambda k: F.col(f"{counts}.{k}")
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)) + 1e-9, digits)  # noqa: E731  (halves go up)
+    gc = n("g") + n("c") + n("s")
+    return {"GCContent": ratio(gc, gc + n("at")), "GCSkew": ratio(n("g") - n("c"), n("g") + n("c")), "NContent": ratio(n("nx"), length)}
 
 
 def described(df: DataFrame, seq: str, **columns: Column) -> DataFrame:
     """The columns given, and the composition of the sequence; rows whose sequence isn't as long as they say are left out."""
-    x = df.where(F.length(seq) == F.col("Length"))
-    return x.select(*[c.alias(n) for n, c in columns.items()], "Length", *[c.alias(n) for n, c in composition(F.col(seq)).items()])
+    x = df.withColumn("_ok", F.length(seq) == F.col("Length")).withColumn("_n", Q.letter_counts(F.col(seq))).where("_ok")
+    return x.select(*[c.alias(n) for n, c in columns.items()], "Length", *[c.alias(n) for n, c in composition("_n", F.col("Length")).items()])
 
 
 def ilocus_summary(loci: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from strandline.plans import loci_queries as L
 from strandline.plans import model_queries as M
 from strandline.plans import views as V
 from strandline.plans.catalog import Catalog
-from strandline.session import table
+from strandline.session import ship, table
 
 C = Catalog()
 W = V.with_views
@@ -21,6 +21,13 @@ MOTIF = "ACGTTGCAANCGGTSAATCWGGXCA"
 
 
 def with_sequence(df):
+    spark = df.sparkSession
+    ship(spark)
+    # few small rows become long sequences: without a number of its own, the shuffle would be coalesced to one task
+    return _with_sequence(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seqid", "start"))
+
+
+def _with_sequence(df):
     """Adds seq: the letters of a model sequence from start to end."""
     m = len(MOTIF)
     long = F.repeat(F.lit(MOTIF), F.floor((F.col("end") - F.col("start")) / m).cast("int") + 2)

@@ -94,7 +94,7 @@ def gff3_text(f: DataFrame) -> DataFrame:
     """Features as lines of nine tab-separated columns, sorted by place: the column ``value`` for write.text."""
     dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     attrs = F.array_join(F.filter(F.array(F.when(F.col("id").isNotNull(), F.concat(F.lit("ID="), "id")), F.when(F.col("parent").isNotNull(), F.concat(F.lit("Parent="), "parent")), "attributes"), lambda x: x.isNotNull() & (x != "")), ";")
-    score = F.coalesce(F.format_string("%.3g", "score"), F.lit("."))
+    score = F.when(F.col("score").isNotNull(), F.format_string("%.3g", "score")).otherwise(".")
     line = F.concat_ws("\t", "seqid", dot("source"), "type", "start", "end", score, dot("strand"), dot("phase"), F.when(attrs == "", ".").otherwise(attrs))
     return f.orderBy("seqid", "start", "end", "type").select(line.alias("value"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def shown(x: str) -> Column:
     """Three decimals, or -- where undefined."""
-    return F.coalesce(F.format_string("%.3f", F.col(x)), F.lit("--"))
+    return F.when(F.col(x).isNotNull(), F.format_string("%.3f", F.col(x))).otherwise("--")
 
 
 def text(pairs: DataFrame) -> DataFrame:
