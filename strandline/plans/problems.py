@@ -127,7 +127,30 @@ cyc AS (SELECT DISTINCT f, c AS id FROM r WHERE c = p),
 bad AS (SELECT f, id FROM cyc UNION SELECT r.f, r.c FROM r SEMI JOIN cyc ON r.f = cyc.f AND r.p = cyc.id),
 """
 
+_P3 = r"""
+WITH a AS (SELECT line_id, regexp_replace(line, '\r$', '') AS l FROM raw_gff3 WHERE line IS NOT NULL),
+b AS (SELECT line_id, string_split(l, chr(9)) AS c FROM a WHERE trim(l, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '' AND NOT starts_with(l, '#')),
+d AS (SELECT *, CASE WHEN len(c) = 9 AND trim(c[9]) <> '.' THEN array_to_string(list_transform(string_split(c[9], '"'), lambda x, i: CASE WHEN i % 2 = 0 THEN translate(x, ';=', chr(1) || chr(2)) ELSE x END), '"') ELSE '' END AS m FROM b),
+e AS (SELECT *, list_filter(list_transform(string_split(m, ';'), lambda p: trim(p)), lambda p: p <> '') AS ps FROM d),
+f AS (SELECT *, list_transform(ps, lambda p: CASE WHEN contains(p, '=') THEN trim(split_part(p, '=', 1)) END) AS ks, list_transform(ps, lambda p: CASE WHEN contains(p, '=') THEN p[position('=' IN p) + 1:] END) AS vs FROM e)
+SELECT line_id, reason FROM (SELECT line_id, CASE WHEN len(c) <> 9 THEN 'columns'
+  WHEN contains(array_to_string(c[1:8], ' '), '"') OR len(list_filter(range(1, len(ps) + 1), lambda i: contains(ps[i], '"') AND (ks[i] IS NULL OR contains(ks[i], '"') OR NOT regexp_matches(vs[i], '^"([^"]|"")*"$')))) > 0 THEN 'quoting'
+  WHEN len(list_filter(c, lambda x: trim(x) = '')) > 0 OR NOT regexp_matches(c[4], '^[0-9]+$') OR NOT regexp_matches(c[5], '^[0-9]+$') OR TRY_CAST(c[4] AS HUGEINT) < 1 OR TRY_CAST(c[4] AS HUGEINT) > TRY_CAST(c[5] AS HUGEINT)
+    OR NOT regexp_matches(c[6], '^(\.|[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)$') OR c[7] NOT IN ('+', '-', '.', '?') OR c[8] NOT IN ('0', '1', '2', '.') OR (c[3] = 'CDS' AND c[8] = '.')
+    OR regexp_matches(regexp_replace(c[9], '%[0-9A-Fa-f]{2}', '', 'g'), '%') OR (trim(c[9]) <> '.' AND len(ps) = 0)
+    OR len(list_filter(range(1, len(ps) + 1), lambda i: ks[i] IS NULL OR ks[i] = '' OR trim(vs[i]) IN ('', '""') OR (ks[i] = 'accession' AND NOT regexp_matches(trim(vs[i], '"'), '^[A-Z]{2}_[0-9]+\.[0-9]+$')))) > 0 THEN 'value' END AS reason FROM f)
+WHERE reason IS NOT NULL"""
+
+_P4 = rf"""
+WITH v AS (
+  SELECT row_id, 'parent' AS field, {_VALUES.format(c="parent")} AS vs FROM features WHERE parent IS NOT NULL
+  UNION ALL SELECT row_id, 'dbxref', flatten(list_transform(list_filter(regexp_extract_all(attributes, '(?:"[^"]*"|''[^'']*''|[^;"''])+'), lambda x: regexp_matches(lower(x), '^\s*(dbxref|db_xref)\s*[= ]')),
+    lambda x: {_VALUES.format(c="regexp_replace(x, '^[^A-Za-z]*[A-Za-z_]+[ ]*[= ][ ]*', '')")})) FROM features WHERE attributes ILIKE '%xref%')
+SELECT row_id, field, CAST(pos AS INTEGER) AS pos, vs[pos] AS value FROM (SELECT row_id, field, vs, unnest(range(1, len(vs) + 1)) AS pos FROM v WHERE len(vs) >= 2)"""
+
 ORACLE = {
+    "p3_found": _P3,
+    "p4_found": _P4,
     "p2_found": _P2
     + """
 ok AS (SELECT l.* FROM l ANTI JOIN bad ON l.f = bad.f AND l.c = bad.id),

@@ -24,7 +24,7 @@ def with_sequence(df):
     spark = df.sparkSession
     ship(spark)
     # few small rows become long sequences: without a number of its own, the shuffle would be coalesced to one task
-    return _with_sequence(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seqid", "start"))
+    return _with_sequence(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "start", "end"))
 
 
 def _with_sequence(df):
