@@ -160,6 +160,9 @@ _RULES = {
     "refseq": (_GENEID, f"coalesce({_attr('transcript_id')}, {_GENEID} || ':' || type)"),
     "crg": ("id", "id"),
     "tair": (_attr("Name"), _attr("Name")),
+    "beebase": (_attr("Name"), _attr("Name")),
+    "pdom": (_attr("Name"), "id"),
+    "am10": ("NULL", _attr("Name")),
     "local": (f"coalesce(accession, {_attr('Name')})", f"coalesce({_attr('protein_id')}, accession, {_attr('Name')})"),
 }
 for _source, (_g, _t) in _RULES.items():

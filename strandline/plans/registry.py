@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import feature_queries, loci_queries, model_queries, problems, source_queries, summary_queries
+from strandline.plans import extra_queries, feature_queries, loci_queries, model_queries, problems, source_queries, summary_queries
 
-_CATALOGS = (loci_queries.C, feature_queries.C, model_queries.C, summary_queries.C, source_queries.C)
+_CATALOGS = (loci_queries.C, feature_queries.C, model_queries.C, summary_queries.C, source_queries.C, extra_queries.C)
 
 
 def queries() -> dict:

@@ -11,32 +11,41 @@ from strandline.operators.lines import carried
 LINES = 1 << 18
 
 # Metrics, operators and sources of a locus filter file.
-_METRICS = {"LocusLength": ("length",), "GeneCount": ("genes",), "TranscriptCount": ("mrnas",), "ExonCount": ("exons",), "CDSLength": ("cds",)}
+_METRICS = {"LocusLength": "length", "GeneCount": "genes", "TranscriptCount": "mrnas", "ExonCount": "exons", "CDSLength": "cds"}
 _OPERATORS = (">", ">=", "<", "<=", "=", "<>")
 
 
-def locus_filters(text: str) -> Column:
-    """The conjunction of the rules of a filter file, over columns start, end, genes, r_/p_ mrnas, exons and cds.
+def filter_rules(text: str) -> list[tuple[str, str, int, str | None]]:
+    """Rules of a filter file: metric, operator, value, source (R, P or none).
 
-    A line is ``Metric Operator Value [R|P]``; blank lines and those that begin with # are left out; <> is no condition.
+    A line is ``Metric Operator Value [R|P]``; blank lines and those that begin with # are left out.
     """
-    out = F.lit(True)
+    rules = []
     for n, line in enumerate(text.splitlines(), 1):
         if not line.strip() or line.startswith("#"):
             continue
         metric, op, value, *source = line.split()
         if metric not in _METRICS or op not in _OPERATORS or source[:1] not in ([], ["R"], ["P"]):
             raise ValueError(f"line {n} is no filter: {line}")
+        rules.append((metric, op, int(value), source[0] if source else None))
+    return rules
+
+
+def locus_filters(text: str) -> Column:
+    """The conjunction of the rules of a filter file, over columns start, end, genes, r_/p_ mrnas, exons and cds; <> is no
+    condition."""
+    out = F.lit(True)
+    for metric, op, value, source in filter_rules(text):
         if op == "<>":
             continue
-        name = _METRICS[metric][0]
+        name = _METRICS[metric]
         if name == "length":
             x = F.col("end") - F.col("start") + 1
         elif name == "genes":
             x = F.col("genes")
         else:
-            x = sum((F.col(f"{s}_{name}") for s in ([source[0].lower()] if source else ["r", "p"])), F.lit(0))
-        v = F.lit(int(value))
+            x = sum((F.col(f"{s}_{name}") for s in ([source.lower()] if source else ["r", "p"])), F.lit(0))
+        v = F.lit(value)
         out = out & {">": x > v, ">=": x >= v, "<": x < v, "<=": x <= v, "=": x == v}[op]
     return out
 
