@@ -18,7 +18,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -323,28 +323,49 @@ def depths(df: DataFrame, scope: str, ident: str, parent: str, *, least: int = 0
     return found if large is None else found.unionByName(_depths_by_joins(large, least, group_rows))
 
 
-def nested_sets(df: DataFrame, scope: str, ident: str, parent: str) -> DataFrame:
+_SETS = "file_id string, feature_id string, root_id string, depth int, path string, lft bigint, rgt bigint, n_below bigint"
+
+
+def nested_sets(df: DataFrame, scope: str, ident: str, parent: str, *, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Every occurrence of every node without a cycle above: root, depth, path (ids joined by >), range and size below."""
-    return _rows(df, scope, ident, parent).groupBy("file_id").applyInArrow(
-        _sets_in, "file_id string, feature_id string, root_id string, depth int, path string, lft bigint, rgt bigint, n_below bigint"
-    )
+    small, large = _parted(_rows(df, scope, ident, parent), group_rows)
+    found = small.groupBy("file_id").applyInArrow(_sets_in, _SETS)
+    return found if large is None else found.unionByName(_sets_by_joins(large))
 
 
-def descendants(df: DataFrame, scope: str, ident: str, parent: str) -> DataFrame:
-    """Each node with each of its descendants and the shortest chain between them, by containment of ranges."""
-    return _rows(df, scope, ident, parent).groupBy("file_id").applyInArrow(_descendants_in, "file_id string, feature_id string, descendant_id string, distance int")
+def descendants(df: DataFrame, scope: str, ident: str, parent: str, *, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Each node with each of its descendants and the shortest chain between them, by containment of ranges (in scopes too
+    large for one task, link by link)."""
+    small, large = _parted(_rows(df, scope, ident, parent), group_rows)
+    found = small.groupBy("file_id").applyInArrow(_descendants_in, "file_id string, feature_id string, descendant_id string, distance int")
+    return found if large is None else found.unionByName(_descendants_by_joins(large))
 
 
 # scopes too large for one task
 
+#: Buckets that the children of one node are spread over when their sizes are summed.
+BUCKETS = 1024
 
-def _depths_by_joins(rows: DataFrame, least: int, group_rows: int) -> DataFrame:
-    rows = rows.withColumn("file_id", F.struct(F.coalesce("file_id", F.lit("")).alias("s"), F.col("file_id").isNull().alias("n")))
-    nodes = written(rows.select("file_id", F.col("id").alias("node")).distinct(), "nodes")
-    links = rows.select("file_id", F.col("id").alias("child"), F.explode(values_of("parent")).alias("parent")).distinct()
-    links = written(links.join(nodes.withColumnRenamed("node", "parent"), ["file_id", "parent"], "left_semi").select("file_id", "child", "parent"), "links")
 
-    def peeled(e: DataFrame, keep: str, among: str) -> DataFrame:
+class _Joined:
+    """The passes over scopes that are never gathered: each step is a join or an aggregate, each level a written table.
+
+    ``file_id`` is a struct of the scope and whether it is null, so that it can be joined on.
+    """
+
+    def __init__(self, rows: DataFrame):
+        rows = rows.withColumn("file_id", F.struct(F.coalesce("file_id", F.lit("")).alias("s"), F.col("file_id").isNull().alias("n")))
+        self.nodes = written(rows.select("file_id", F.col("id").alias("node")).distinct(), "nodes")
+        links = rows.select("file_id", F.col("id").alias("child"), F.explode(values_of("parent")).alias("parent")).distinct()
+        links = written(links.join(self.nodes.withColumnRenamed("node", "parent"), ["file_id", "parent"], "left_semi").select("file_id", "child", "parent"), "links")
+        tainted = self._peeled(links, "parent", "child")  # links below which a cycle is above
+        self.core = self._peeled(tainted, "child", "parent")
+        bad = written(tainted.select("file_id", "child").distinct(), "tainted")
+        self.links = written(links.join(bad, ["file_id", "child"], "left_anti").select("file_id", "child", "parent"), "sound")
+        self.roots = written(self.nodes.join(links.select("file_id", F.col("child").alias("node")).distinct(), ["file_id", "node"], "left_anti"), "roots")
+
+    @staticmethod
+    def _peeled(e: DataFrame, keep: str, among: str) -> DataFrame:
         """Links whose ``keep`` end is some link's ``among`` end, again and again until all are."""
         n = e.count()
         while n:
@@ -355,23 +376,87 @@ def _depths_by_joins(rows: DataFrame, least: int, group_rows: int) -> DataFrame:
             n = m
         return e
 
-    tainted = peeled(links, "parent", "child")  # links below which a cycle is above
-    core = peeled(tainted, "child", "parent")
-    bad = written(tainted.select("file_id", F.col("child").alias("node")).distinct(), "tainted")
-    sound = written(links.join(bad.withColumnRenamed("node", "child"), ["file_id", "child"], "left_anti").select("file_id", "child", "parent"), "sound")
-    roots = nodes.join(links.select("file_id", F.col("child").alias("node")).distinct(), ["file_id", "node"], "left_anti")
-    front = written(roots.select("file_id", "node", F.col("node").alias("root"), F.lit(0).alias("depth")), "front")
-    fronts = [front]
-    while front.count():
-        # all nodes that a chain of exactly so many links leads to; the last depth at which one appears is its longest
-        front = written(
-            front.withColumnRenamed("node", "parent").join(sound, ["file_id", "parent"]).select("file_id", F.col("child").alias("node"), "root", (F.col("depth") + 1).alias("depth")).distinct(), "front"
-        )
-        fronts.append(front)
-    longest = reduce(DataFrame.unionByName, fronts).groupBy("file_id", "node", "root").agg(F.max("depth").alias("depth")).where(F.col("depth") >= least)
-    cyclic = _strong(core, group_rows)
-    out = longest.unionByName(cyclic)
-    return out.select(F.when(~F.col("file_id.n"), F.col("file_id.s")).alias("file_id"), F.col("node").alias("feature_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"))
+    def _expanded(self, front: DataFrame, columns: list, distinct: bool) -> list[DataFrame]:
+        """The front (node, depth, ...) and what it leads to, level by level, while there is any."""
+        fronts = [front]
+        while fronts[-1].count():
+            step = fronts[-1].withColumnRenamed("node", "parent").join(self.links, ["file_id", "parent"]).select("file_id", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), *columns)
+            fronts.append(written(step.distinct() if distinct else step, "front"))
+        return fronts
+
+    def sized(self) -> DataFrame:
+        """Subtree size of each node in the unfolded forest (a double), summed upward from the deepest level."""
+        fronts = self._expanded(self.roots.withColumn("depth", F.lit(0)), [], True)
+        level = written(reduce(DataFrame.unionByName, fronts).groupBy("file_id", "node").agg(F.max("depth").alias("level")), "levels")
+        known = level.limit(0).select("file_id", "node", F.lit(0.0).alias("size"))
+        for k in range(len(fronts) - 2, -1, -1):
+            here = level.where(F.col("level") == k)
+            below = self.links.join(here.select("file_id", F.col("node").alias("parent")), ["file_id", "parent"]).join(known.withColumnRenamed("node", "child"), ["file_id", "child"])
+            sums = below.groupBy("file_id", F.col("parent").alias("node")).agg(F.sum("size").alias("_s"))
+            done = here.join(sums, ["file_id", "node"], "left").select("file_id", "node", (F.coalesce("_s", F.lit(0.0)) + 1).alias("size"))
+            known = written(known.unionByName(done), "sizes")
+        return known
+
+    def too_dense(self, size: DataFrame) -> bool:
+        total = size.join(self.roots, ["file_id", "node"], "left_semi").agg(F.sum("size")).first()[0] or 0.0
+        return total > UNFOLD * max(self.nodes.count(), 1000)
+
+    @staticmethod
+    def _before(df: DataFrame, keys: list[str], node: str) -> DataFrame:
+        """Adds ``before``: the sum of the sizes of earlier rows of the keys, in two steps, so that no key is one task's."""
+        df = df.withColumn("_b", F.pmod(F.xxhash64(node), F.lit(BUCKETS)))
+        sums = df.groupBy(*keys, "_b").agg(F.sum("size").alias("_t"))
+        sums = sums.withColumn("_base", F.sum("_t").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_t")).drop("_t")
+        inner = F.sum("size").over(Window.partitionBy(*keys, "_b").orderBy(node)) - F.col("size")
+        return df.join(sums, [*keys, "_b"]).withColumn("before", (F.col("_base") + inner).cast("bigint")).drop("_b", "_base")
+
+    def occurrences(self, size: DataFrame) -> DataFrame:
+        """Nested sets of the unfolded forest: node, root, depth, path, lft and size of each occurrence."""
+        top = self._before(self.roots.join(size, ["file_id", "node"]), ["file_id"], "node")
+        front = written(top.select("file_id", "node", F.lit(0).alias("depth"), F.col("node").alias("root"), F.col("node").alias("path"), (F.col("before") + 1).alias("lft"), F.col("size").cast("bigint").alias("size")), "sets")
+        placed = self._before(self.links.join(size.withColumnRenamed("node", "child"), ["file_id", "child"]), ["file_id", "parent"], "child")
+        placed = written(placed.select("file_id", "child", "parent", "before", F.col("size").cast("bigint").alias("own")), "placed")
+        fronts = [front]
+        while fronts[-1].count():
+            step = fronts[-1].withColumnRenamed("node", "parent").join(placed, ["file_id", "parent"])
+            step = step.select("file_id", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), "root", F.concat("path", F.lit(">"), "child").alias("path"), (F.col("lft") + 1 + F.col("before")).alias("lft"), F.col("own").alias("size"))
+            fronts.append(written(step, "sets"))
+        return reduce(DataFrame.unionByName, fronts)
+
+
+def _scope() -> Column:
+    return F.when(~F.col("file_id.n"), F.col("file_id.s")).alias("file_id")
+
+
+def _depths_by_joins(rows: DataFrame, least: int, group_rows: int) -> DataFrame:
+    j = _Joined(rows)
+    size = j.sized()
+    if j.too_dense(size):  # without unfolding: all nodes that a chain of exactly so many links leads to from each root
+        front = written(j.roots.select("file_id", "node", F.lit(0).alias("depth"), F.col("node").alias("root")), "front")
+        o = reduce(DataFrame.unionByName, j._expanded(front, ["root"], True))
+    else:
+        o = j.occurrences(size)
+    longest = o.groupBy("file_id", "node", "root").agg(F.max("depth").alias("depth")).where(F.col("depth") >= least)
+    out = longest.unionByName(_strong(j.core, group_rows))
+    return out.select(_scope(), F.col("node").alias("feature_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"))
+
+
+def _sets_by_joins(rows: DataFrame) -> DataFrame:
+    j = _Joined(rows)
+    size = j.sized()
+    if j.too_dense(size):
+        raise ValueError("a scope has too many chains for its paths to be listed")
+    o = j.occurrences(size)
+    return o.select(_scope(), F.col("node").alias("feature_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "path", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_below"))
+
+
+def _descendants_by_joins(rows: DataFrame) -> DataFrame:
+    j = _Joined(rows)
+    sound = j.links.select("file_id", F.col("parent").alias("node")).union(j.links.select("file_id", F.col("child").alias("node"))).distinct()
+    front = written(sound.select("file_id", "node", F.lit(0).alias("depth"), F.col("node").alias("top")), "front")
+    o = reduce(DataFrame.unionByName, j._expanded(front, ["top"], True)).where("depth > 0")
+    o = o.groupBy("file_id", "top", "node").agg(F.min("depth").alias("distance"))
+    return o.select(_scope(), F.col("top").alias("feature_id"), F.col("node").alias("descendant_id"), F.col("distance").cast("int").alias("distance"))
 
 
 def _strong(core: DataFrame, group_rows: int) -> DataFrame:

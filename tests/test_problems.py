@@ -62,18 +62,27 @@ def test_hierarchy(spark, group_rows):
     assert rows(hierarchy.depths(df.where("false"), "file_id", "id", "parent", group_rows=group_rows)) == []
 
 
-def test_nested_sets(spark):
+@pytest.mark.parametrize("group_rows", [1_000_000, 0])
+def test_nested_sets(spark, group_rows):
     data = [("f", "r", None), ("f", "a", "r"), ("f", "b", "r,a"), ("f", "c", "b"), ("f", "z", "z")]
     df = spark.createDataFrame(data, "file_id string, id string, parent string")
-    sets = hierarchy.nested_sets(df, "file_id", "id", "parent").collect()
+    sets = hierarchy.nested_sets(df, "file_id", "id", "parent", group_rows=group_rows).collect()
     assert sorted(s.path for s in sets) == ["r", "r>a", "r>a>b", "r>a>b>c", "r>b", "r>b>c"]
     for x in sets:
         below = sum(x.lft < y.lft <= x.rgt for y in sets)
         assert below == x.n_below == sum(y.path.startswith(x.path + ">") for y in sets)
-    got = hierarchy.descendants(df, "file_id", "id", "parent")
+    got = hierarchy.descendants(df, "file_id", "id", "parent", group_rows=group_rows)
     assert rows(got) == [("f", "a", "b", 1), ("f", "a", "c", 2), ("f", "b", "c", 1), ("f", "r", "a", 1), ("f", "r", "b", 1), ("f", "r", "c", 2)]
 
 
+def test_dense_chains_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "UNFOLD", 0.001)
+    data = [("f", "r", None), ("f", "a", "r"), ("f", "b", "r,a"), ("f", "c", "b,a")]
+    df = spark.createDataFrame(data, "file_id string, id string, parent string")
+    want = [("f", "a", "r", 1), ("f", "b", "r", 2), ("f", "c", "r", 3), ("f", "r", "r", 0)]
+    assert rows(hierarchy.depths(df, "file_id", "id", "parent", group_rows=0)) == want
+
+
 def test_dense_chains():
     import numpy as np
 
