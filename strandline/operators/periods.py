@@ -223,18 +223,18 @@ def periods_and_gaps(df: DataFrame, keys: list[str], ident: str, start: str, end
     settled = runs.repartition(*keys, "cell").sortWithinPartitions(*keys, "cell").mapInArrow(_cells(keys, to_arrow_schema(out), fold_rows), out)
     final = settled.where(F.col("kind").isin("period", "gap")).select(*keys, "kind", "a", "b")
     # one row a cell and at most two runs at its edges: few, whatever the number of intervals
+    # (both kinds go through one window and one aggregate, so that the cells are settled twice at most)
     w = Window.partitionBy(*keys, "kind").orderBy("a", "b")
     few = settled.where(F.col("kind").isin("edge", "cell")).withColumn("_before", F.lag("b").over(w))
-    across = few.where((F.col("kind") == "cell") & (F.col("a") > F.col("_before"))).select(*keys, F.lit("gap").alias("kind"), F.col("_before").alias("a"), F.col("a").alias("b"))
-    joined = (
-        few.where(F.col("kind") == "edge")
-        .withColumn("_n", F.sum(F.when(F.col("a") == F.col("_before"), 0).otherwise(1)).over(w))
-        .groupBy(*keys, "_n")
-        .agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("w").alias("w"))
-        .where(F.col("w") >= 2)
-        .select(*keys, F.lit("period").alias("kind"), "a", "b")
+    few = few.withColumn("_n", F.sum(F.when(F.col("a") == F.col("_before"), 0).otherwise(1)).over(w))
+    runs = few.groupBy(*keys, "kind", "_n").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("w").alias("w"), F.min("_before").alias("_before"))
+    crossing = runs.where(F.when(F.col("kind") == "edge", F.col("w") >= 2).otherwise(F.col("_before") < F.col("a"))).select(
+        *keys,
+        F.when(F.col("kind") == "edge", "period").otherwise("gap").alias("kind"),
+        F.when(F.col("kind") == "edge", F.col("a")).otherwise(F.col("_before")).alias("a"),
+        F.when(F.col("kind") == "edge", F.col("b")).otherwise(F.col("a")).alias("b"),
     )
-    everything = final.unionByName(across).unionByName(joined)
+    everything = final.unionByName(crossing)
     s = F.expr("CASE WHEN kind = 'gap' THEN shiftright(a + 1, 1) ELSE shiftright(a, 1) END").alias("start")
     e = F.expr("CASE WHEN kind = 'gap' THEN shiftright(b, 1) - 1 ELSE shiftright(b - 1, 1) END").alias("end")
     return everything.select(*keys, "kind", s, e).where(F.col("start") <= F.col("end"))
