@@ -54,23 +54,35 @@ def segments(text: str) -> list[str]:
     return out
 
 
-def _listed(seg: str, words: list[str], low: list[str], seen: Counter) -> bool:
+_DOT = re.compile(r"\w\.\w|://")
+# What one of these has to be in a segment, in lower case, before the marks of shop pages are searched.
+_HINTS = ("sku", "cart", "in stock", "buy now", "★", "☆", "tags", "category", "size", "colo", "€", "$", "£", "free shipping", "[url", "[/url", "<a", "</a")
+
+
+def marks_in(seg: str) -> tuple[int, int, bool]:
+    """Characters in links and in hash tags, and whether the segment bears a mark of shop pages."""
+    links = sum(len(m[0]) for m in _LINK.finditer(seg)) if _DOT.search(seg) else 0
+    tags = sum(len(m[0]) for m in _TAG.finditer(seg)) if "#" in seg else 0
+    low = seg.lower()
+    return links, tags, any(h in low for h in _HINTS) and bool(_SHOP.search(seg))
+
+
+def _listed(seg: str, words: list[str], low: list[str], function: int, found: tuple[int, int, bool], seen: Counter) -> bool:
     """Whether a segment is a link, a product tag or a list of keywords rather than a sentence or a list of proceedings."""
-    if _SHOP.search(seg):
+    links, _, shop = found
+    if shop:
         return True
-    links = sum(len(m[0]) for m in _LINK.finditer(seg))
-    function = sum(w in _OF for w in low)
     ratio = function / len(low) if low else 0.0
     if links and not _AGENDA.match(seg):
         return ratio < 0.2 or links > 0.5 * len(seg)
-    if len(_TAG.findall(seg)) * 2 >= max(len(words), 1):
+    if "#" in seg and len(_TAG.findall(seg)) * 2 >= max(len(words), 1):
         return True
     if not low or _AGENDA.match(seg) or len(_CJK.findall(seg)) > 0.2 * len(seg):
         return False
     bare = seg.strip().lower()
     if seen[bare] >= 3 and len(low) <= 6 and bare[-1] not in ".!?…)]”\"'":
         return True
-    if len(low) >= 4:  # the same two words again and again, whatever stands between
+    if len(low) >= 4 and len(set(low)) < len(low):  # the same two words again and again, whatever stands between
         pairs = Counter(zip(low, low[1:]))
         again = sum(n for p, n in pairs.items() if n >= 2 and not (p[0] in _OF or p[1] in _OF or p[0] == p[1]))
         if again * 2 >= 0.45 * len(low):
@@ -107,45 +119,50 @@ def _brief(seg: str, words: list[str]) -> bool:
 def measure(text: str) -> tuple[str, list[float], float]:
     """Language, features and the share of characters in links, tags and keyword lists."""
     segs = segments(text)
-    split = [(s, w := _WORD.findall(s), [x.lower() for x in w]) for s in segs]
-    low = [x for _, _, ws in split for x in ws]
+    split = []
+    for seg in segs:
+        words = _WORD.findall(seg)
+        low = [x.lower() for x in words]
+        split.append((seg, words, low, sum(w in _OF for w in low), marks_in(seg)))
+    low = [x for s in split for x in s[2]]
     n = len(low)
-    chars = sum(len(s) for s in segs) or 1
-    kana = len(_KANA.findall(text))
-    by = Counter(_OF[w] for w in low if w in _OF)
-    language = "ja" if kana > 0.1 * chars else max(by, key=lambda k: (by[k], k)) if by and sum(by.values()) >= 0.05 * n else "xx"
+    chars = sum(map(len, segs)) or 1
+    counts = Counter(low)
+    by: dict[str, int] = {}
+    for w, c in counts.items():
+        if w in _OF:
+            by[_OF[w]] = by.get(_OF[w], 0) + c
+    function = sum(by.values())
+    kana = len(_KANA.findall(text)) if not text.isascii() else 0
+    language = "ja" if kana > 0.1 * chars else max(by, key=lambda k: (by[k], k)) if by and function >= 0.05 * n else "xx"
     seen = Counter(s.strip().lower() for s in segs)
-    pairs = Counter(zip(low, low[1:]))
-    # single long lines of items: the items are what is counted
-    brief = [s.strip().lower() for s, w, _ in split if _brief(s, w)]
+    brief = [s[0].strip().lower() for s in split if _brief(s[0], s[1])]
     listed = len(brief) >= 8 and len(set(brief)) * 2 <= len(brief)  # few keywords, a line each, over and over
     spam = 0
-    for s, words, lows in split:
-        if listed and _brief(s, words):
-            spam += len(s)
+    for seg, words, lows, fw, found in split:
+        if listed and _brief(seg, words):
+            spam += len(seg)
             continue
-        items = _ITEM.split(s.strip())
-        if len(items) < 8 and len(_CJK.findall(s)) > 0.3 * len(s):
-            items = s.split()  # a script without blanks between words: what blanks part are items
-        if len(items) >= 8 and "。" not in s:
-            kinds = Counter(x.strip().lower() for x in items)
-            if len(kinds) * 2 <= len(items) and len(lows) <= 4 * len(items) and not _AGENDA.match(s):
-                spam += len(s)
+        items = _ITEM.split(seg.strip())
+        if len(items) < 8 and not seg.isascii() and len(_CJK.findall(seg)) > 0.3 * len(seg):
+            items = seg.split()  # a script without blanks between words: what blanks part are items
+        if len(items) >= 8 and "。" not in seg:  # a line of items: the items are what is counted
+            kinds = {x.strip().lower() for x in items}
+            if len(kinds) * 2 <= len(items) and len(lows) <= 4 * len(items) and not _AGENDA.match(seg):
+                spam += len(seg)
                 continue
-        if _listed(s, words, lows, seen):
-            spam += len(s)
-    share = spam / chars
-    counts = Counter(low)
+        if _listed(seg, words, lows, fw, found, seen):
+            spam += len(seg)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) / math.log2(n) if n > 1 else 1.0
-    function = sum(by.values()) / n if n else 0.0
+    plain = function / n if n else 0.0
     if language == "ja":
-        function = kana / max(len(_CJK.findall(text)), 1) * 0.5
-    content = Counter(w for w in low if w not in _OF)
-    heavy = sum(c for c in content.values() if c >= 3) / n if n else 0.0
-    again = sum(c for p, c in pairs.items() if c >= 3 and p[0] not in _OF and p[1] not in _OF) / n if n else 0.0
-    marks = (sum(len(m[0]) for m in _LINK.finditer(text)) + sum(len(m[0]) for m in _TAG.finditer(text)) + 12 * len(_SHOP.findall(text))) / chars
-    short = sum(len(s) for s, w, _ in split if len(w) <= 6) / chars
-    return language, [min(marks, 2.0), 1 - function, heavy, again, 1 - entropy, short], share
+        plain = kana / max(len(_CJK.findall(text)), 1) * 0.5
+    heavy = sum(c for w, c in counts.items() if c >= 3 and w not in _OF) / n if n else 0.0
+    pairs = Counter(p for p in zip(low, low[1:]) if p[0] not in _OF and p[1] not in _OF)
+    again = sum(c for c in pairs.values() if c >= 3) / n if n else 0.0
+    marks = sum(s[4][0] + s[4][1] + 12 * s[4][2] for s in split) / chars
+    short = sum(len(s[0]) for s in split if len(s[1]) <= 6) / chars
+    return language, [min(marks, 2.0), 1 - plain, heavy, again, 1 - entropy, short], spam / chars
 
 
 def _measurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
