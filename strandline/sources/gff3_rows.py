@@ -35,6 +35,12 @@ def _sound_quotes(value: Column) -> Column:
     return F.startswith(value, F.lit('"')) & F.endswith(value, F.lit('"')) & (F.length(value) >= 2) & (F.instr(F.replace(inner, F.lit('""'), F.lit("")), '"') == 0)
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """The same rows, with the columns so far computed once: a filter can't be pushed through the generator, which would write
+    out every column's expression again wherever the filter uses it."""
+    return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("_row")).select("_row.*")
+
+
 def with_errors(lines: DataFrame, line: str = "line") -> DataFrame:
     """Adds the nine columns as text and ``errors``, the array of the names of the rules broken.
 
@@ -42,12 +48,13 @@ def with_errors(lines: DataFrame, line: str = "line") -> DataFrame:
     ``columns`` (nine tab-separated columns; nothing else is tried if it fails), ``quoting`` (a double quote anywhere but
     around an attribute's value, or not doubled within), ``value`` (everything else). A carriage return at the end is no part of a line.
     """
-    raw = F.regexp_replace(F.col(line), r"\r$", "")
+    raw = F.when(F.endswith(F.col(line), F.lit("\r")), F.expr(f"substring(`{line}`, 1, length(`{line}`) - 1)")).otherwise(F.col(line))
     df = lines.withColumn("_raw", raw).where((F.btrim(F.col("_raw"), F.lit(" \t\r\n\x0b\x0c")) != "") & ~F.startswith(F.col("_raw"), F.lit("#")))
-    df = df.withColumn("_c", F.split("_raw", "\t", -1))
+    df = _once(df).withColumn("_c", F.split("_raw", "\t", -1))
     nine = F.size("_c") == 9
     for i, c in enumerate(COLUMNS):
         df = df.withColumn(f"_{c}", F.get("_c", F.lit(i)))
+    df = _once(df)
     # Lines without a double quote, most of all, are judged by plain searches of column 9 for what a sound one can't hold.
     # Only the others are cut into pieces.
     quoted = F.instr("_raw", '"') > 0
@@ -86,12 +93,12 @@ def with_errors(lines: DataFrame, line: str = "line") -> DataFrame:
     errors = F.when(~nine, F.array(F.lit("columns"))).otherwise(
         F.filter(F.array(F.when(quoting, F.lit("quoting")), F.when(~F.coalesce(sound, F.lit(False)), F.lit("value"))), lambda x: x.isNotNull())
     )
-    return df.withColumn("errors", errors)
+    return _once(df.withColumn("errors", errors))
 
 
 def rejected(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
     """Broken data lines with the first rule that each breaks: key, reason. Repeated rows each give their own."""
-    return with_errors(lines, line).where(F.size("errors") > 0).select(key, F.get("errors", F.lit(0)).alias("reason"))
+    return with_errors(lines.select(key, line), line).where(F.size("errors") > 0).select(key, F.get("errors", F.lit(0)).alias("reason"))
 
 
 def loaded(lines: DataFrame, keep: list[str], line: str = "line") -> DataFrame:
@@ -99,7 +106,7 @@ def loaded(lines: DataFrame, keep: list[str], line: str = "line") -> DataFrame:
 
     ``.`` is null in every column but the strand; coordinates past BIGINT are null. Values keep their percent escapes.
     """
-    ok = with_errors(lines, line).where(F.size("errors") == 0)
+    ok = with_errors(lines.select(*keep, line), line).where(F.size("errors") == 0)
     ok = ok.withColumn("_p", F.when(F.btrim("_attributes") != ".", _pieces(F.col("_attributes"))).otherwise(F.array().cast("array<string>")))
     # pieces hold masked semicolons and equals signs inside quotes; they are put back in the values
     back = lambda v: F.translate(v, "\u0001\u0002", ";=")
