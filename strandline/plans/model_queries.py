@@ -86,7 +86,9 @@ def _(spark, d):
 @C.add("infer_exons", W("exons") + _COD + ' SELECT x.gene_id, s AS "start", e AS "end" FROM exons x JOIN cod ON cod.gene_id = x.gene_id')
 def _(spark, d):
     """From coding and untranslated parts back to the exons that they were cut from."""
-    return S.infer_exons(_cds(spark, d), _utrs(spark, d))
+    e = V.kept_exons(spark, d).select("gene_id", "strand", "start", "end", "code")
+    cod = S.codons(e.where("code = 'C'"))
+    return S.infer_exons(S.infer_cds(e, cod), S.infer_utrs(e, cod))
 
 
 @C.add("infer_introns", W("exons") + """ SELECT gene_id, e + 1 AS "start", nx - 1 AS "end" FROM (SELECT *, lead(s) OVER (PARTITION BY gene_id ORDER BY s) AS nx FROM exons) WHERE nx > e + 1""")
@@ -175,9 +177,10 @@ def _(spark, d):
 _INTRONS = """, intr AS (SELECT gene_id, seqid, strand, e + 1 AS s, nx - 1 AS e FROM (SELECT *, lead(s) OVER (PARTITION BY gene_id ORDER BY s) AS nx FROM exons) WHERE nx > e + 1)"""
 
 
-def _introns(spark, d):
-    own = V.exons(spark, d).groupBy("gene_id").agg(F.min("seqid").alias("seqid"), F.min("strand").alias("strand"))
-    return S.introns(V.exons(spark, d), "gene_id").join(own, "gene_id")
+def _introns(spark, d, e=None):
+    e = V.exons(spark, d) if e is None else e
+    own = e.groupBy("gene_id").agg(F.min("seqid").alias("seqid"), F.min("strand").alias("strand"))
+    return S.introns(e, "gene_id").join(own, "gene_id")
 
 
 @C.add("intron_context", W("exons") + _COD + _INTRONS + f""" SELECT x.gene_id, x.s AS "start", {_CTX.format(c="x.")} AS context FROM intr x JOIN cod ON cod.gene_id = x.gene_id""")
@@ -213,16 +216,19 @@ def _spans(spark, d):
     return V.genes(spark, d).join(have, "gene_id", "left_semi").select("gene_id", (F.col("end") - F.col("start") + 1).alias("length"))
 
 
-def _nuc(spark, d):
-    return K.confusion(_spans(spark, d), V.exons(spark, d), V.predicted(spark, d))
+def _nuc(spark, d, e=None):
+    e = V.kept_exons(spark, d) if e is None else e
+    return K.confusion(_spans(spark, d), e, V.predicted(spark, d, e))
 
 
-def _structs(spark, d):
-    return K.structures(_spans(spark, d), V.exons(spark, d), V.predicted(spark, d))
+def _structs(spark, d, e=None):
+    e = V.kept_exons(spark, d) if e is None else e
+    return K.structures(_spans(spark, d), e, V.predicted(spark, d, e))
 
 
 def _classes(spark, d):
-    return _nuc(spark, d).join(_structs(spark, d), "gene_id").withColumn("class", K.classified())
+    e = V.kept_exons(spark, d)
+    return _nuc(spark, d, e).join(_structs(spark, d, e), "gene_id").withColumn("class", K.classified())
 
 
 @C.add("clique_model_vector", W("exons", "pred") + _CMP + """ SELECT gene_id, code, s AS "start", e AS "end" FROM withi WHERE side = 'r'""")
@@ -431,14 +437,16 @@ gap AS (SELECT DISTINCT a.seqid, a.e + 1 AS s, nx - 1 AS e FROM (SELECT *, lead(
 conf AS (SELECT i.gene_id, count(*) AS n_introns, count(g.s) AS n_confirmed FROM intr i LEFT JOIN gap g ON g.seqid = i.seqid AND g.s = i.s AND g.e = i.e GROUP BY 1)"""
 
 
-def _coverage(spark, d):
-    return support.coverage(V.exons(spark, d), V.alignments(spark, d))
+def _coverage(spark, d, e=None):
+    e = V.kept_exons(spark, d) if e is None else e
+    return support.coverage(e, V.alignments(spark, d, e))
 
 
-def _confirmed(spark, d):
-    al = V.alignments(spark, d)
+def _confirmed(spark, d, e=None):
+    e = V.kept_exons(spark, d) if e is None else e
+    al = V.alignments(spark, d, e)
     gaps = S.introns(al, "aln_id").join(al.select("aln_id", "seqid").distinct(), "aln_id")
-    return support.confirmed(_introns(spark, d), gaps)
+    return support.confirmed(_introns(spark, d, e), gaps)
 
 
 @C.add("coverage", W("exons", "aln") + _COV + " SELECT gene_id, covered, length, round(covered / length::DOUBLE, 6) AS coverage FROM cov")
@@ -457,8 +465,9 @@ SELECT cov.gene_id, round(0.6::DOUBLE * least(1.0::DOUBLE, CASE WHEN conf.gene_i
 FROM cov JOIN len ON len.gene_id = cov.gene_id LEFT JOIN conf ON conf.gene_id = cov.gene_id""")
 def _(spark, d):
     n = F.col("end") - F.col("start") + 1
-    size = V.exons(spark, d).groupBy("gene_id").agg(*[F.coalesce(F.sum(F.when(F.col("code") == c, n)), F.lit(0)).alias(c) for c in "CFT"])
-    x = _coverage(spark, d).join(size, "gene_id").join(_confirmed(spark, d), "gene_id", "left")
+    e = V.kept_exons(spark, d)
+    size = e.groupBy("gene_id").agg(*[F.coalesce(F.sum(F.when(F.col("code") == c, n)), F.lit(0)).alias(c) for c in "CFT"])
+    x = _coverage(spark, d, e).join(size, "gene_id").join(_confirmed(spark, d, e), "gene_id", "left")
     cds, u5, u3 = support.EXPECTED
     a = F.when(F.col("n_introns").isNull(), F.col("C") / cds).otherwise(F.col("n_confirmed") / F.col("n_introns"))
     return x.select("gene_id", F.round(support.integrity(a, F.col("coverage"), F.col("F") / u5, F.col("T") / u3) + F.lit(1e-9), 6).alias("integrity"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.session import table
+from strandline.session import table, written
 
 #: Every model sequence has this extent.
 REGION_END = 30_000
@@ -55,9 +55,14 @@ def exons(spark: SparkSession, d: str) -> DataFrame:
     return p.select("gene_id", "rn", "seqid", "strand", begin.alias("start"), (begin + F.col("qty") - 1).alias("end"), code.alias("code"), "coding", "status", "line", "supp", "qty")
 
 
-def predicted(spark: SparkSession, d: str) -> DataFrame:
+def kept_exons(spark: SparkSession, d: str) -> DataFrame:
+    """The exons as a written table, for plans that use them many times with different columns."""
+    return written(exons(spark, d), "exons")
+
+
+def predicted(spark: SparkSession, d: str, e: DataFrame | None = None) -> DataFrame:
     """A second annotation of the same genes, changed by rule: gene_id, seqid, strand, start, end, code."""
-    e = exons(spark, d).withColumn("m", F.col("gene_id") % 6)
+    e = (exons(spark, d) if e is None else e).withColumn("m", F.col("gene_id") % 6)
     e = e.where(~((F.col("m") == 3) & (F.col("status") == "O")) & ~((F.col("m") == 4) & F.col("coding") & (F.col("line") == 2)) & ~((F.col("m") == 5) & ~F.col("coding")))
     end = F.when(F.col("m").isin(1, 4) & (F.col("line") % 3 == 0) & (F.col("qty") > 1), F.col("end") - 1).otherwise(F.col("end"))
     flip = (F.col("m") == 2) & (F.col("rn") == 1)
@@ -68,9 +73,9 @@ def predicted(spark: SparkSession, d: str) -> DataFrame:
     return e.select("gene_id", "seqid", "strand", "start", end.alias("end"), code.alias("code"))
 
 
-def alignments(spark: SparkSession, d: str) -> DataFrame:
+def alignments(spark: SparkSession, d: str, e: DataFrame | None = None) -> DataFrame:
     """Parts of transcript alignments: aln_id, seqid, strand, start, end."""
-    e = exons(spark, d)
+    e = exons(spark, d) if e is None else e
     even = e.where("supp % 2 = 0").select(F.concat(F.lit("a"), "gene_id").alias("aln_id"), "seqid", "strand", "start", "end")
     moved = e.where("line % 4 = 0").select(F.concat(F.lit("b"), "gene_id").alias("aln_id"), "seqid", "strand", (F.col("start") + 5).alias("start"), (F.col("end") + 5).alias("end"))
     return even.unionByName(moved)

@@ -20,6 +20,7 @@ def local_session(cpus: int | str = 8, memory: str = "6g", **conf: str) -> Spark
         .appName("strandline")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.unionOutputPartitioning", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -34,8 +35,16 @@ def local_session(cpus: int | str = 8, memory: str = "6g", **conf: str) -> Spark
     return spark
 
 
+def guard(spark: SparkSession) -> None:
+    """Spark 4.1 lets a union keep the hash partitioning of its inputs, while adaptive execution may coalesce the partitions of
+    each input in its own way: an aggregate over such a union then gives keys twice. The setting is turned off for the session
+    before any plan of ours is made; elsewhere it is unknown, and setting it does nothing."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on every executor, once per application."""
+    guard(spark)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -64,10 +73,12 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back; survives the loss of executors."""
     spark = df.sparkSession
+    guard(spark)
     path = os.path.join(shared_dir(spark), f"strandline-{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    guard(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
