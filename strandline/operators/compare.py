@@ -7,6 +7,7 @@ untranslated, I is an intron, and what no segment covers is G.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -57,14 +58,18 @@ def _blocks(parts: DataFrame, codes: list[str], key: str) -> DataFrame:
 
 def structures(spans: DataFrame, refr: DataFrame, pred: DataFrame, key: str = "gene_id") -> DataFrame:
     """Correct, missing and wrong structures of each kind: only exactly equal ranges are correct."""
-    out = spans.select(key)
-    for kind, codes in (("cds", ["C"]), ("exon", ["C", "F", "T"]), ("utr", ["F", "T"])):
-        a, b = _blocks(refr, codes, key).withColumn("_r", F.lit(1)), _blocks(pred, codes, key).withColumn("_p", F.lit(1))
-        n = a.join(b, [key, "start", "end"], "full").groupBy(key).agg(
-            F.count_if(F.col("_r").isNotNull() & F.col("_p").isNotNull()).alias(f"{kind}_correct"), F.count_if(F.col("_p").isNull()).alias(f"{kind}_missing"), F.count_if(F.col("_r").isNull()).alias(f"{kind}_wrong")
-        )
-        out = out.join(n, key, "left")
-    return out.na.fill(0)
+    kinds = {"cds": ["C"], "exon": ["C", "F", "T"], "utr": ["F", "T"]}
+    tagged = [
+        _blocks(parts, codes, key).select(key, F.lit(kind).alias("_k"), "start", "end", F.lit(side).alias("_s"))
+        for kind, codes in kinds.items() for parts, side in ((refr, "r"), (pred, "p"))
+    ]
+    # a full outer join of both sides, as one aggregate: a range that only one side has is missing or wrong
+    both = reduce(DataFrame.unionByName, tagged).groupBy(key, "_k", "start", "end").agg(F.bool_or(F.col("_s") == "r").alias("_r"), F.bool_or(F.col("_s") == "p").alias("_p"))
+    r, p = F.col("_r"), F.col("_p")
+    n = both.groupBy(key).agg(
+        *[F.count_if((F.col("_k") == k) & hit).alias(f"{k}_{name}") for k in kinds for name, hit in (("correct", r & p), ("missing", ~p), ("wrong", ~r))]
+    )
+    return spans.select(key).join(n, key, "left").na.fill(0)
 
 
 def binary(correct: Column, missing: Column, wrong: Column) -> dict[str, Column]:
