@@ -270,8 +270,25 @@ def _sets_in(t: pa.Table) -> pa.Table:
     )
 
 
+def _reached(f: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ancestor, descendant, shortest chain) link by link, for forests too dense to unfold."""
+    up = down = np.flatnonzero(f.level >= 0)
+    seen, far, parts = up * f.n + down, 0, []
+    while len(up):
+        links, count = f.kids(down)
+        pairs = np.setdiff1d(np.repeat(up, count) * f.n + f.child[links], seen)
+        seen, far = np.union1d(seen, pairs), far + 1
+        up, down = pairs // max(f.n, 1), pairs % max(f.n, 1)
+        parts.append((up, down, np.full(len(up), far, np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+
+
 def _descendants_in(t: pa.Table) -> pa.Table:
     f, names = forest_of(t)
+    if float(f.sizes()[f.roots].sum()) > UNFOLD * max(f.n, 1000):
+        up, down, far = _reached(f)
+        scope = pa.repeat(t["file_id"][0], len(up)).cast(pa.string()) if len(up) else pa.array([], pa.string())
+        return pa.table([scope, _take(names, up), _take(names, down), pa.array(far, pa.int32())], names=["file_id", "feature_id", "descendant_id", "distance"])
     o = f.occurrences()
     up_all, down_all, far_all = [], [], []
     for d in range(int(o["depth"].max(initial=-1))):

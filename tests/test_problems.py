@@ -94,6 +94,10 @@ def test_dense_chains():
     f = hierarchy.Forest(121, np.array(child), np.array(parent))
     node, root, depth = f.depths()
     assert len(node) == 121 and set(root.tolist()) == {0} and depth.max() == 80
+    up, down, far = hierarchy._reached(f)
+    assert len(up) == sum(len(np.flatnonzero(f.level > k)) for k in f.level.tolist()) and far.max() == 80
+    small = hierarchy.Forest(4, np.array([1, 2, 2, 3]), np.array([0, 0, 1, 2]))
+    assert sorted(zip(*(x.tolist() for x in hierarchy._reached(small)))) == [(0, 1, 1), (0, 2, 1), (0, 3, 2), (1, 2, 1), (1, 3, 2), (2, 3, 1)]
 
 
 # 3
