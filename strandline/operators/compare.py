@@ -6,6 +6,7 @@ untranslated, I is an intron, and what no segment covers is G.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -143,15 +144,61 @@ def _code_at(parts: list[dict], lo: int, hi: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def _agreeing(a: list[tuple[int, int, str]], b: list[tuple[int, int, str]], lo: int, hi: int) -> int:
-    """Bases of lo..hi on which two lists of segments have the same code, G where there is none."""
-    cuts = sorted({lo, hi + 1, *(x for s, e, _ in a + b for x in (s, e + 1))})
-    look = lambda segs, x: next((c for s, e, c in segs if s <= x <= e), "G")
-    return sum(y - x for x, y in zip(cuts, cuts[1:]) if lo <= x <= hi and look(a, x) == look(b, x))
+def _laid(segs: list[tuple[int, int, str]], lo: int, hi: int) -> list[tuple[int, int, str]]:
+    """Segments in order, within lo..hi and disjoint: of two on the same bases the first stands."""
+    out: list[tuple[int, int, str]] = []
+    at = lo - 1
+    for s, e, c in sorted(segs):
+        s, e = max(s, at + 1), min(e, hi)
+        if s <= e:
+            out.append((s, e, c))
+            at = e
+    return out
 
 
-def pairs_of(row: dict) -> list[dict]:
-    """Pairs of cliques of one locus, best first; each transcript is taken once, what is left over is unique to its side."""
+def _runs(segs: list[tuple[int, int, str]], codes: str) -> list[tuple[int, int]]:
+    """Runs of any of the codes, as ranges; segments that adjoin are one run."""
+    out: list[tuple[int, int]] = []
+    for s, e, c in segs:
+        if c in codes:
+            if out and out[-1][1] + 1 == s:
+                out[-1] = (out[-1][0], e)
+            else:
+                out.append((s, e))
+    return out
+
+
+def _cc(tp: int, r: int, p: int, length: int) -> float | None:
+    """Correlation coefficient of r and p bases of a code, tp of them shared; None where undefined."""
+    under = r * (length - p) * p * (length - r)
+    return (tp * (length - r - p + tp) - (r - tp) * (p - tp)) / math.sqrt(under) if under else None
+
+
+def _alike(values: list[float | None], within: float) -> list[int]:
+    """The place of each value, highest first and undefined ones last; values closer than ``within`` to their neighbour share one.
+
+    Where being that close is transitive, this is the reference's order; elsewhere the reference has none.
+    """
+    order = sorted({-2.0 if v is None else v for v in values}, reverse=True)
+    place, n = {}, 0
+    for k, v in enumerate(order):
+        n += k > 0 and not order[k - 1] - v < within
+        place[v] = n
+    return [place[-2.0 if v is None else v] for v in values]
+
+
+def _by_place(pairs: list[dict], heads: tuple[str, ...], value: str, to: str, within: float) -> None:
+    """Sets ``to``: places of the values among the pairs with equal heads."""
+    groups: dict[tuple, list[dict]] = {}
+    for x in pairs:
+        groups.setdefault(tuple(x[h] for h in heads), []).append(x)
+    for group in groups.values():
+        for x, n in zip(group, _alike([x[value] for x in group], within)):
+            x[to] = n
+
+
+def _sides(row: dict) -> list[dict[tuple[int, ...], list[tuple[int, int, str]]]]:
+    """The cliques of both sides with their segments: ids to segments."""
     lo, hi = row["start"], row["end"]
     sides = []
     for side in ("refr", "pred"):
@@ -161,19 +208,66 @@ def pairs_of(row: dict) -> list[dict]:
         ranges = [(g, min(p["start"] for p in ps), max(p["end"] for p in ps)) for g, ps in by.items()]
         segs = {}
         for clique in cliques(ranges):
-            segs[tuple(sorted(clique))] = [s for g in clique for s in _code_at(by[g], lo, hi)]
+            segs[tuple(sorted(clique))] = _laid([s for g in clique for s in _code_at(by[g], lo, hi)], lo, hi)
         sides.append(segs)
-    # of pairs that agree alike, those of more transcripts come first, then the smaller ids
-    scored = sorted(((-_agreeing(a, b, lo, hi), r, p) for r, a in sides[0].items() for p, b in sides[1].items()), key=lambda x: (x[0], -len(x[1]) - len(x[2]), x[1], x[2]))
+    return sides
+
+
+def _shared(a: list[tuple[int, int, str]], b: list[tuple[int, int, str]]) -> tuple[int, int, int, int]:
+    """Bases that two lists of disjoint segments in order both cover: any, of the same code, both coding, both untranslated."""
+    i = j = both = same = cds = utr = 0
+    while i < len(a) and j < len(b):
+        n = min(a[i][1], b[j][1]) - max(a[i][0], b[j][0]) + 1
+        if n > 0:
+            c, d = a[i][2], b[j][2]
+            both, same, cds, utr = both + n, same + n * (c == d), cds + n * (c == d == "C"), utr + n * (c in "FT" and d in "FT")
+        if a[i][1] <= b[j][1]:
+            i += 1
+        else:
+            j += 1
+    return both, same, cds, utr
+
+
+def _ordered(sides: list[dict[tuple[int, ...], list[tuple[int, int, str]]]], length: int) -> list[dict]:
+    """All pairs of cliques, best first: perfect, then CDS structure match, exon structure match, CDS correlation, UTR correlation
+    and identity. Undefined correlations come last; those that differ by less than the tolerance of the locus count as equal.
+    Pairs that are alike in all of these come by the number of their transcripts, then by ids."""
+    of = lambda segs, codes: sum(e - s + 1 for s, e, c in segs if c in codes)
+    told = [{k: (v, _runs(v, "C"), _runs(v, "CFT"), of(v, "C"), of(v, "FT"), of(v, "CFTI")) for k, v in side.items()} for side in sides]
+    pairs = []
+    for r, (a, r_cds, r_exons, rc, ru, rn) in told[0].items():
+        for p, (b, p_cds, p_exons, pc, pu, pn) in told[1].items():
+            both, same, cds, utr = _shared(a, b)
+            n = same + length - rn - pn + both
+            pairs.append({
+                "refr": r, "pred": p, "n_matches": n, "perfect": n == length, "cds_match": r_cds == p_cds, "exon_match": r_exons == p_exons,
+                "cds_cc": _cc(cds, rc, pc, length), "utr_cc": _cc(utr, ru, pu, length),
+            })
+    # perfect pairs are alike in the reference, whatever else they share
+    for x in pairs:
+        x["_head"] = (0,) if x["perfect"] else (1, not x["cds_match"], not x["exon_match"])
+    within = 1.0
+    while within > 1 / length:
+        within /= 10
+    _by_place(pairs, ("_head",), "cds_cc", "_cds", within)
+    _by_place(pairs, ("_head", "_cds"), "utr_cc", "_utr", within)
+    return sorted(pairs, key=lambda x: (x["_head"], *(() if x["perfect"] else (x["_cds"], x["_utr"], -x["n_matches"])), -len(x["refr"]) - len(x["pred"]), x["refr"], x["pred"]))
+
+
+def pairs_of(row: dict) -> list[dict]:
+    """Pairs of cliques of one locus, best first; each transcript is taken once, what is left over is unique to its side."""
+    lo, hi = row["start"], row["end"]
+    sides = _sides(row)
     used_r: set[int] = set()
     used_p: set[int] = set()
     out = []
     name = lambda c: ",".join(map(str, c))
-    for score, r, p in scored:
+    for x in _ordered(sides, hi - lo + 1):
+        r, p = x["refr"], x["pred"]
         if used_r.isdisjoint(r) and used_p.isdisjoint(p):
             used_r |= set(r)
             used_p |= set(p)
-            out.append({"refr": name(r), "pred": name(p), "n_matches": -score, "kind": "pair"})
+            out.append({"refr": name(r), "pred": name(p), "n_matches": x["n_matches"], "kind": "pair"})
     left = lambda segs, used: [c for c in segs if len(c) == 1 and used.isdisjoint(c)]
     out += [{"refr": name(c), "pred": None, "n_matches": None, "kind": "unique-refr"} for c in left(sides[0], used_r)]
     out += [{"refr": None, "pred": name(c), "n_matches": None, "kind": "unique-pred"} for c in left(sides[1], used_p)]

@@ -106,6 +106,53 @@ def test_pairs():
     assert [(o["kind"], o["pred"]) for o in out[1:]] == [("unique-pred", "5")]
 
 
+def test_pairs_by_structure_before_agreement():
+    def p(g, *xs):
+        return [{"gene_id": g, "start": s, "end": e, "code": c} for s, e, c in xs]
+
+    def best(refr, *preds):
+        out = compare.pairs_of({"locus": "l", "start": 1, "end": 1000, "refr": refr, "pred": [x for q in preds for x in q]})
+        return [(o["refr"], o["pred"], o["kind"]) for o in out]
+
+    # the same coding parts with other untranslated ones, against one base less of the coding parts: that agrees on more bases
+    refr = p(1, (100, 199, "F"), (200, 299, "C"), (400, 500, "C"))
+    cds, near = p(2, (200, 299, "C"), (400, 500, "C"), (501, 700, "T")), p(3, (100, 199, "F"), (200, 299, "C"), (400, 499, "C"))
+    assert best(refr, near, cds) == [("1", "2", "pair"), (None, "3", "unique-pred")]
+    # the same exons, all coded otherwise, against one base less
+    exons = p(4, (100, 299, "C"), (400, 450, "C"), (451, 500, "T"))
+    assert best(refr, near, exons) == [("1", "4", "pair"), (None, "3", "unique-pred")]
+    # neither: the coding parts decide, then the untranslated ones; 5 agrees on more bases than 6, but shares less of the coding parts
+    more, cc = p(5, (100, 199, "F"), (200, 280, "C"), (400, 490, "C")), p(6, (202, 299, "C"), (400, 500, "C"), (520, 700, "T"))
+    assert best(refr, more, cc) == [("1", "6", "pair"), (None, "5", "unique-pred")]
+    # an undefined correlation comes last: 7 has no coding part
+    assert best(refr, p(7, (100, 198, "F")), p(8, (100, 110, "C"), (900, 1000, "C")))[0] == ("1", "8", "pair")
+
+
+def test_pair_counts_equal_base_by_base():
+    import random
+
+    rnd = random.Random(5)
+    for _ in range(200):
+        sides = []
+        for _ in range(2):
+            at, ps = rnd.randrange(1, 6), []
+            while at < 50:
+                ps.append((at, e := min(60, at + rnd.randrange(8)), rnd.choice("CCFT")))
+                at = e + rnd.choice((1, 1, 4))
+            sides.append(ps)
+        a, b = (vector(ps, 1, 60) for ps in sides)
+        row = {"start": 1, "end": 60} | {side: [{"gene_id": 1, "start": s, "end": e, "code": c} for s, e, c in ps] for side, ps in zip(("refr", "pred"), sides)}
+        (got,) = compare._ordered(compare._sides(row), 60)
+        assert got["n_matches"] == sum(m == n for m, n in zip(a, b))
+        for k, codes in (("cds", "C"), ("exon", "CFT")):
+            assert got[f"{k}_match"] == ([m in codes for m in a] == [n in codes for n in b])
+        for k, codes in (("cds_cc", "C"), ("utr_cc", "FT")):
+            x = [(m in codes, n in codes) for m, n in zip(a, b)]
+            tp, fn, fp, tn = (x.count(y) for y in ((True, True), (True, False), (False, True), (False, False)))
+            d = math.sqrt((tp + fn) * (tn + fp) * (tp + fp) * (tn + fn))
+            assert got[k] == (pytest.approx((tp * tn - fn * fp) / d) if d else None)
+
+
 def test_support(spark):
     e = parts(spark, (1, "+", 1, 100, "C"), (1, "+", 201, 300, "C"), (2, "-", 1, 100, "C"))
     al = spark.createDataFrame([("s", "+", 51, 80), ("s", "+", 71, 120), ("s", "+", 290, 400), ("s", "-", 500, 600)], "seqid string, strand string, start bigint, end bigint")
