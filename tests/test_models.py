@@ -236,6 +236,26 @@ def test_clusters(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d"}
 
 
+def test_clusters_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(7)
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    some = lambda n: "".join(rnd.choices(letters, k=n))
+    seqs = {"".join(rnd.choice(letters) if rnd.random() < rate else c for c in base) for n, rate in ((300, 0.04), (300, 0.055), (60, 0.06)) for _ in range(8) for base in [some(n)] for _ in range(5)}
+    seqs |= {some(n) for n in range(1, 12)} | {"MKV", "MKVL", "MKVLA", "MKVLAT", "MKVLATR", "A" * 30, "A" * 9}
+    data = {f"p{i:03}": s for i, s in enumerate(rnd.sample(sorted(seqs), len(seqs)))}
+    grams = {i: {s[j : j + 5] for j in range(max(1, len(s) - 4))} for i, s in data.items()}
+    want = {i: i for i in data}
+    pairs = [(a, b) for a in data for b in data if a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.5]
+    for _ in data:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r.seqid: r.cluster_id for r in clusters.by_sequence(spark.createDataFrame(list(data.items()), "seqid string, seq string")).collect()}
+    assert len(pairs) > 50
+    assert got == want
+
+
 def test_summaries(spark):
     pts = spark.createDataFrame([("x", 1.0, 1.0)] * 9 + [("x", 100.0, 100.0)], "species string, sigma double, phi double")
     assert rows(summaries.centroids(pts)) == [("x", 1.0, 1.0)]
