@@ -292,6 +292,21 @@ def selected_pairs(loci: DataFrame) -> DataFrame:
     return loci.mapInArrow(_each(pairs_of, names, kinds), _PAIRS)
 
 
+_RANKED = {"locus": "string", "refr": "string", "pred": "string", "perfect": "boolean", "cds_match": "boolean", "exon_match": "boolean", "cds_cc": "double", "utr_cc": "double", "n_matches": "bigint", "length": "bigint", "rank": "int"}
+
+
+def ranked_pairs(loci: DataFrame) -> DataFrame:
+    """loci as for selected_pairs; every pair of cliques of a locus with what it is ranked by, and its rank in the locus."""
+
+    def rows(row: dict) -> list[dict]:
+        length = row["end"] - row["start"] + 1
+        name = lambda c: ",".join(map(str, c))
+        return [x | {"locus": row["locus"], "refr": name(x["refr"]), "pred": name(x["pred"]), "length": length, "rank": k} for k, x in enumerate(_ordered(_sides(row), length), 1)]
+
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}
+    return loci.mapInArrow(_each(rows, list(_RANKED), [kinds[t] for t in _RANKED.values()]), ", ".join(f"{n} {t}" for n, t in _RANKED.items()))
+
+
 def enumerated(loci: DataFrame) -> DataFrame:
     """locus, transcripts (array of gene_id, start, end): one row a clique: locus, size, ids."""
 

@@ -391,6 +391,13 @@ def locus_compare(spark, d):
     return K.selected_pairs(_locus_parts(spark, d).where("size(refr) > 0 AND size(pred) > 0"))
 
 
+@C.add("pair_rank_cliques")
+def _(spark, d):
+    """The pairs of cliques of each locus by the survey's order; pair_rank ranks genes against themselves, in blocks of ids."""
+    ship(spark)
+    return K.ranked_pairs(_locus_parts(spark, d).where("size(refr) > 0 AND size(pred) > 0"))
+
+
 @C.add("pair_select_greedy")
 def _(spark, d):
     return locus_compare(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("n_matches").alias("n_matches"))

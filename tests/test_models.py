@@ -128,6 +128,23 @@ def test_pairs_by_structure_before_agreement():
     assert best(refr, p(7, (100, 198, "F")), p(8, (100, 110, "C"), (900, 1000, "C")))[0] == ("1", "8", "pair")
 
 
+def test_ranked_pairs(spark):
+    from strandline.plans import registry
+
+    assert "pair_rank_cliques" in registry.queries()
+    refr = [(1, 100, 199, "F"), (1, 200, 299, "C"), (1, 400, 500, "C")]
+    pred = [
+        (2, 100, 199, "F"), (2, 200, 299, "C"), (2, 400, 500, "C"), (3, 100, 299, "C"), (3, 400, 500, "C"), (4, 200, 299, "C"), (4, 400, 500, "C"),
+        (5, 100, 199, "C"), (5, 200, 299, "F"), (5, 400, 500, "C"), (6, 100, 199, "F"), (6, 200, 280, "C"), (6, 400, 490, "C"), (7, 202, 299, "C"), (7, 400, 500, "C"), (7, 520, 700, "T"),
+    ]
+    part = "array<struct<gene_id:int,start:bigint,end:bigint,code:string>>"
+    loci = spark.createDataFrame([(n, 1, 1000, refr, pred) for n in ("l", "m")], f"locus string, start bigint, end bigint, refr {part}, pred {part}")
+    got = [(r.locus, r["rank"], r.pred, r.perfect, r.cds_match, r.exon_match) for r in compare.ranked_pairs(loci).orderBy("locus", "rank").collect()]
+    # perfect, the same coding parts, the same exons (3 by its correlation before 5), then by correlation; ranks begin anew in each locus
+    want = [("2", True, True, True), ("4", False, True, False), ("3", False, False, True), ("5", False, False, True), ("7", False, False, False), ("6", False, False, False)]
+    assert got == [(n, k, *x) for n in ("l", "m") for k, x in enumerate(want, 1)]
+
+
 def test_pair_counts_equal_base_by_base():
     import random
 
