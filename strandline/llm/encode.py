@@ -29,7 +29,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters past a piece's end after which its split can't change.
 PIECE_LOOKAHEAD = 3
 #: Characters taken at once from a text.
-BLOCK = 65_536
+BLOCK = 256
 #: Tokens of one batch that is handed back.
 OUT_TOKENS = 1_000_000
 
@@ -160,15 +160,16 @@ class Encoder:
     """Text in parts of any size to ids: ``feed`` gives what is stable, ``finish`` the rest."""
 
     def __init__(self, v: Vocabulary, block: int = BLOCK):
-        self.v, self.block, self.held = v, block, ""
+        self.v, self.block, self.held, self.least = v, block, "", block
         self.stream: PieceStream | None = None
 
     def feed(self, text: str) -> list[int]:
         ids: list[int] = []
         for at in range(0, len(text), self.block):
             self.held += text[at : at + self.block]
-            if len(self.held) >= self.block:
+            if len(self.held) >= self.least:
                 ids += self._advance()
+                self.least = max(self.block, 2 * len(self.held))  # what can't be cut yet isn't read again for every block
         return ids
 
     def _advance(self) -> list[int]:
@@ -214,7 +215,7 @@ class Encoder:
         return rest, self.stream.feed(head.encode())
 
     def finish(self) -> list[int]:
-        ids: list[int] = []
+        ids = self._advance() if len(self.held) >= self.block else []
         if self.stream is not None:
             m = self.v.pieces.match(self.held) if self.held else None
             if m:
@@ -223,7 +224,7 @@ class Encoder:
             ids += self.stream.finish()
             self.stream = None
         ids += self.v.core.encode_ordinary(self.held)
-        self.held = ""
+        self.held, self.least = "", self.block
         return ids
 
 
@@ -231,8 +232,6 @@ def encode(v: Vocabulary, text: str | None, block: int = BLOCK) -> list[int]:
     """Ids of a text; an empty list for null and empty ones."""
     if not text:
         return []
-    if len(text) <= block:
-        return v.core.encode_ordinary(text)
     e = Encoder(v, block)
     return e.feed(text) + e.finish()
 

@@ -22,6 +22,14 @@ def test_stream_equals_whole(v, block):
         assert E.encode(v, t, block) == v.core.encode_ordinary(t), (block, t[:30])
 
 
+def test_typical_texts_go_through_the_encoder(v, monkeypatch):
+    text = "Of words, numbers like 1234 and marks: it's an ordinary text, as they come. " * 20
+    want, most, plain = v.core.encode_ordinary(text), [], v.core.encode_ordinary
+    monkeypatch.setattr(v.core, "encode_ordinary", lambda t: most.append(len(t)) or plain(t))
+    assert E.encode(v, text) == want
+    assert max(most) < len(text) / 2
+
+
 def test_random_feeds(v):
     rnd = random.Random(5)
     alphabet = ["a", "the", "'", "'s", " ", "  ", "\n", "9", "é", "日", "—", "''", "ing", "_", "\t", "zzzz", "\r\n"]
