@@ -39,13 +39,13 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    return spam.spam_pages(table(spark, d, "documents"), "doc_id", "text")
+    return spam.spam_pages(table(spark, d, "documents"), "doc_id", "text", "lang")
 
 
 def p9_suspects(spark: SparkSession, d: str) -> DataFrame:
-    """Outliers toward spam with their distance and share, before the exact check."""
+    """Documents with any stretch that lies far out toward spam: the share of their characters in such, and their distance."""
     ship(spark)
-    found = spam.suspects(spam.written_features(table(spark, d, "documents"), "doc_id", "text"))
+    found = spam.judged(table(spark, d, "documents"), "doc_id", "text", "lang").where("share > 0")
     return found.select(F.col("key").alias("doc_id"), "language", F.round("distance", 6).alias("distance"), F.round("share", 6).alias("share"))
 
 

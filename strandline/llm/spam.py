@@ -1,260 +1,321 @@
 """Keyword-stuffed pages, link lists and product tags among documents.
 
-Of each document, features of density, entropy, repetition and function words are taken, all turned so that spam lies
-upward. Per language, medians and median deviations over all documents centre and scale them, and the spatial sign
-covariance gives their scatter; none of the three is moved by a minority of spam. A document is suspect if its robust
-Mahalanobis distance is large and its offset points toward spam. Suspects are then checked exactly: segment by segment,
-whether repeated or strung-together keywords, links and product tags make up more than half of the characters.
+Every text is cut into stretches of about 300 characters. Of each stretch, features of density (marks, links), entropy,
+repetition and function words are taken, all turned so that spam lies upward; no word, domain or phrase is built in. What the
+function words of a language are is learnt: the short words that most documents tagged with it have. Per language, medians and
+median deviations over all stretches centre and scale the features, and the spatial sign covariance gives their scatter; none
+of the three is moved by a minority of spam. A stretch is an outlier if its robust Mahalanobis distance is large, and a spam
+one if its offset also points toward spam: away from prose, and toward repetition, marks, links or the lack of sentences. A
+document is spam if such stretches make up more than half of its characters. Nothing else decides.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm import stretches as T
 from strandline.session import written
 
-# Common function words of the languages, lower case.
-FUNCTION_WORDS = {
-    "en": "the of and to a in that is it for was on are as with his they be at this have from or had by but not what all were we when your can said there an which do how their if will i me you no so who has its our been must may than only it's",
-    "fr": "le la les et que des du une est pour dans qui par sur pas ne à il nous au aux ce cette dont plus depuis moins avant l'on c'est",
-    "de": "der die und das den von zu mit sich auf für ist im dem nicht ein eine ich warum wer aber wir weil ab mehr hat diese dieser zur zum seit vor in",
-    "es": "el los las y un una se del con por en la al lo para su que nadie esta desde cómo de pido",
-    "el": "ο η το οι τα τον την του της των και να για με στο στη στην που γιατί μας τις τους εδώ από",
-}
-_OF = {w: lang for lang, ws in reversed(FUNCTION_WORDS.items()) for w in ws.split()}
-LANGUAGES = (*FUNCTION_WORDS, "ja", "xx")
-FEATURES = ("marks", "plain", "repetition", "pairs", "sameness", "lists")
-
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)?")
-_LINK = re.compile(r"(?:\b(?:https?|hxxps?|ftp)://|\bwww\.)\S+|\b(?:[\w-]+\.)+(?:com|net|org|info|biz|invalid|test|example|shop|site|online)\b\S*", re.I)
-_TAG = re.compile(r"(?<!\w)#\w+")
-# Marks of shop pages.
-_SHOP = re.compile(r"\bsku-?\d|add to cart|in stock|\bbuy now\b|[★☆]{2,}|^\s*(?:tags|category|size|colou?r)\s*[:>]|^.{0,60}?\b(?:tags: |category > |size: )|[€$£]\s?\d+[.,]\d\d\b|\bfree shipping\b|\[/?url\b|</?a\b", re.I)
-# How lines of orders of business and votes begin.
-_AGENDA = re.compile(r"^\s*(?:\d+[.)]\s+\S.*:\s|business of the day|papers laid|ayes\b|noes\b|district\b)", re.I)
-_SENTENCE = re.compile(r"(?<=[.!?。])\s+")
-_KANA = re.compile(r"[぀-ヿ]")
-_CJK = re.compile(r"[぀-ヿ一-鿿]")
-
-
-def segments(text: str) -> list[str]:
-    """Lines, long ones split at the ends of sentences."""
-    out = []
-    for line in text.replace(" ", " ").splitlines():
-        if line.strip():
-            out += [s for s in _SENTENCE.split(line) if s.strip()] if len(line) > 60 else [line]
-    return out
-
-
-_DOT = re.compile(r"\w\.\w|://")
-# What one of these has to be in a segment, in lower case, before the marks of shop pages are searched.
-_HINTS = ("sku", "cart", "in stock", "buy now", "★", "☆", "tags", "category", "size", "colo", "€", "$", "£", "free shipping", "[url", "[/url", "<a", "</a")
-
-
-def marks_in(seg: str) -> tuple[int, int, bool]:
-    """Characters in links and in hash tags, and whether the segment bears a mark of shop pages."""
-    links = sum(len(m[0]) for m in _LINK.finditer(seg)) if _DOT.search(seg) else 0
-    tags = sum(len(m[0]) for m in _TAG.finditer(seg)) if "#" in seg else 0
-    low = seg.lower()
-    return links, tags, any(h in low for h in _HINTS) and bool(_SHOP.search(seg))
-
-
-def _listed(seg: str, words: list[str], low: list[str], function: int, found: tuple[int, int, bool], seen: Counter) -> bool:
-    """Whether a segment is a link, a product tag or a list of keywords rather than a sentence or a list of proceedings."""
-    links, _, shop = found
-    if shop:
-        return True
-    ratio = function / len(low) if low else 0.0
-    if links and not _AGENDA.match(seg):
-        return ratio < 0.2 or links > 0.5 * len(seg)
-    if "#" in seg and len(_TAG.findall(seg)) * 2 >= max(len(words), 1):
-        return True
-    if not low or _AGENDA.match(seg) or len(_CJK.findall(seg)) > 0.2 * len(seg):
-        return False
-    bare = seg.strip().lower()
-    if seen[bare] >= 3 and len(low) <= 6 and bare[-1] not in ".!?…)]”\"'":
-        return True
-    if len(low) >= 4 and len(set(low)) < len(low):  # the same two words again and again, whatever stands between
-        pairs = Counter(zip(low, low[1:]))
-        again = sum(n for p, n in pairs.items() if n >= 2 and not (p[0] in _OF or p[1] in _OF or p[0] == p[1]))
-        if again * 2 >= 0.45 * len(low):
-            return True
-    if len(low) >= 16 and len(set(low)) <= 0.4 * len(low):
-        return True
-    if ratio >= 0.12:
-        return False
-    if len(low) >= 12 and len(set(low)) <= 0.45 * len(low):
-        return True
-    if len(low) >= 2 and sum(n.isdigit() for n in low) * 2 > len(low):
-        return False
-    small = sum(w[0].islower() for w in words if w[0].isalpha())
-    alpha = sum(w[0].isalpha() for w in words)
-    if alpha and small >= 0.5 * alpha:
-        return not _prose(seg, low)
-    return False  # capitals: names
-
-
-def _prose(seg: str, low: list[str]) -> bool:
-    """A sentence of a language without listed words: it begins with a capital, ends with a mark and repeats no word."""
-    s = seg.strip()
-    return bool(re.match(r"[\"'“«(\[*—–-]", s)) or (s[:1].isupper() and s[-1:] in ".?!" and len(set(low)) > 0.7 * len(low) and len(low) > 3)
-
-
-_ITEM = re.compile(r"\s*(?:[|,;/•·、・，；]|\s-\s)\s*")
-
-
-def _brief(seg: str, words: list[str]) -> bool:
-    """A line of a few words that is no sentence and belongs to no list of proceedings."""
-    return 0 < len(words) <= 6 and seg.strip()[-1] not in ".!?…)]”\"'" and not _AGENDA.match(seg)
-
-
-def measure(text: str) -> tuple[str, list[float], float]:
-    """Language, features and the share of characters in links, tags and keyword lists."""
-    segs = segments(text)
-    split = []
-    for seg in segs:
-        words = _WORD.findall(seg)
-        low = [x.lower() for x in words]
-        split.append((seg, words, low, sum(w in _OF for w in low), marks_in(seg)))
-    low = [x for s in split for x in s[2]]
-    n = len(low)
-    chars = sum(map(len, segs)) or 1
-    counts = Counter(low)
-    by: dict[str, int] = {}
-    for w, c in counts.items():
-        if w in _OF:
-            by[_OF[w]] = by.get(_OF[w], 0) + c
-    function = sum(by.values())
-    kana = len(_KANA.findall(text)) if not text.isascii() else 0
-    language = "ja" if kana > 0.1 * chars else max(by, key=lambda k: (by[k], k)) if by and function >= 0.05 * n else "xx"
-    seen = Counter(s.strip().lower() for s in segs)
-    brief = [s[0].strip().lower() for s in split if _brief(s[0], s[1])]
-    listed = len(brief) >= 8 and len(set(brief)) * 2 <= len(brief)  # few keywords, a line each, over and over
-    spam = 0
-    for seg, words, lows, fw, found in split:
-        if listed and _brief(seg, words):
-            spam += len(seg)
-            continue
-        items = _ITEM.split(seg.strip())
-        if len(items) < 8 and not seg.isascii() and len(_CJK.findall(seg)) > 0.3 * len(seg):
-            items = seg.split()  # a script without blanks between words: what blanks part are items
-        if len(items) >= 8 and "。" not in seg:  # a line of items: the items are what is counted
-            kinds = {x.strip().lower() for x in items}
-            if len(kinds) * 2 <= len(items) and len(lows) <= 4 * len(items) and not _AGENDA.match(seg):
-                spam += len(seg)
-                continue
-        if _listed(seg, words, lows, fw, found, seen):
-            spam += len(seg)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) / math.log2(n) if n > 1 else 1.0
-    plain = function / n if n else 0.0
-    if language == "ja":
-        plain = kana / max(len(_CJK.findall(text)), 1) * 0.5
-    heavy = sum(c for w, c in counts.items() if c >= 3 and w not in _OF) / n if n else 0.0
-    pairs = Counter(p for p in zip(low, low[1:]) if p[0] not in _OF and p[1] not in _OF)
-    again = sum(c for c in pairs.values() if c >= 3) / n if n else 0.0
-    marks = sum(s[4][0] + s[4][1] + 12 * s[4][2] for s in split) / chars
-    short = sum(len(s[0]) for s in split if len(s[1]) <= 6) / chars
-    return language, [min(marks, 2.0), 1 - plain, heavy, again, 1 - entropy, short], spam / chars
-
-
-def _measurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+FEATURES = T.FEATURES
+#: A language's words are those that at least this part of its documents have: the most frequent ones, up to a number.
+COMMON_PART, WORDS, FUNCTION_WORDS = 0.1, 400, 60
+#: Documents that a tag needs, and part of all documents, to count as a language. Others are held against the nearest one.
+LEAST_DOCUMENTS, LEAST_PART = 10, 0.0005
+#: Least part of a text's words that are words of a language for it to be told by them and not by its tag.
+TOLD = 0.15
+#: Words that a stretch needs to take part in the statistics.
+LEAST_WORDS = 20
+#: Words (links: characters) of a typical stretch that are added to each, so that a short one can't lie far out by chance.
+PRIOR = np.array([6.0] * 7 + [30.0])
+#: Least scale of each feature, so that one that hardly varies can't explode.
+FLOOR = np.array([0.08, 0.08, 0.03, 0.1, 0.03, 0.03, 0.03, 0.08])
+#: Part of the identity mixed into the scatter.
+SHRINK = 0.2
+#: Distance beyond which a stretch is an outlier.
+FAR = 5.0
+#: How much each of the first four features says that a stretch isn't prose, how much of one counts, and the least offset that way.
+AWAY, ENOUGH, LEAST_AWAY = np.array([1.0, 1.5, 1.0, 1.0]), 3.0, 0.0
+#: Least offset toward repetition, sameness, marks or links, or toward the lack of sentences.
+LEAST_TOWARD = 1.5
+
+_TAG = re.compile(r"[a-z]{2,3}(?=$|[-_])")
+# Tags that name no language.
+_NONE = {"und", "mul", "mis", "zxx"}
+
+
+def primary(tag: str | None) -> str:
+    """The language that a tag names, or ``und``."""
+    m = _TAG.match((tag or "").strip().lower())
+    return m[0] if m and m[0] not in _NONE else "und"
+
+
+class Languages(NamedTuple):
+    names: list[str]
+    documents: list[int]
+    words: np.ndarray  # hashes, sorted
+    known: np.ndarray  # of each language: which of these are its words (one more, never known, at the end)
+    function: np.ndarray  # and which its function words
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents of each tag each word stands; a null word counts the documents. Bounded tables are handed on."""
+    tags: dict[str, int] = {}
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    names = ["tag", "word", "short", "n"]
+
+    def folded() -> pa.RecordBatch:
+        t, h, s = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((h, t))
+        t, h, s = t[order], h[order], s[order]
+        new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])]))
+        of = np.array(list(tags), object)[t[new]]
+        return pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(h[new].view(np.int64)), pa.array(s[new]), pa.array(np.diff(np.append(new, len(t))).astype(np.int64))], names)
+
     for b in batches:
-        got = [measure(t) if t and t.strip() else ("xx", [None] * len(FEATURES), 0.0) for t in b.column(1).to_pylist()]
-        columns = [b.column(0), pa.array([g[0] for g in got], pa.string()), *[pa.array([g[1][i] for g in got], pa.float64()) for i in range(len(FEATURES))], pa.array([g[2] for g in got], pa.float64())]
-        yield pa.RecordBatch.from_arrays(columns, ["key", "language", *FEATURES, "share"])
+        tag = np.array([tags.setdefault(primary(x), len(tags)) for x in b.column(0).to_pylist()], np.int64)
+        some = np.array([bool(n) for n in pc.utf8_length(b.column(1)).to_pylist()], bool)
+        kinds, n = np.unique(tag[some], return_counts=True)
+        of = np.array(list(tags), object)[kinds]
+        yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.nulls(len(of), pa.int64()), pa.array(np.zeros(len(of), bool)), pa.array(n.astype(np.int64))], names)
+        going, seen = -1, np.zeros(0, np.uint64)
+        for block in T.blocks(b.column(1)):
+            w = T.words(*block)
+            part, h, short = T.per_text(w)
+            row = w.rows[part]
+            if w.rows[0] == going:  # a long text goes on: words met before don't count again
+                fresh = (row != going) | ~np.isin(h, seen)
+                row, h, short = row[fresh], h[fresh], short[fresh]
+            mine = h[row == w.rows[-1]]
+            going, seen = w.rows[-1], np.concatenate([seen, mine]) if w.rows[-1] == going else mine
+            held.append((tag[row], h, short))
+            if sum(len(x[1]) for x in held) > 2_000_000:
+                yield folded()
+                held.clear()
+    if held:
+        yield folded()
+
+
+def languages(df: DataFrame, text: str, tag: str | None) -> Languages:
+    """The languages that tags name, their words and their function words, from all documents.
+
+    What comes to the driver is bounded: a document has a limited number of distinct words on average, and only words that a
+    tenth of a language's documents have are taken.
+    """
+    lang = df[tag] if tag else F.lit(None).cast("string")
+    counted = df.select(lang.alias("tag"), df[text].alias("text")).mapInArrow(_counter, "tag string, word bigint, short boolean, n bigint")
+    counts = written(counted.groupBy("tag", "word").agg(F.max("short").alias("short"), F.sum("n").alias("n")), "words")
+    documents = {r.tag: r.n for r in counts.where("word is null").collect()}
+    least = max(LEAST_DOCUMENTS, LEAST_PART * sum(documents.values()))
+    names = sorted((t for t, n in documents.items() if n >= least and t != "und"), key=lambda t: (-documents[t], t)) or [t for t in documents if t == "und" or len(documents) == 1]
+    if not names:
+        names = sorted(documents, key=lambda t: (-documents[t], t))[:1]
+    bar = F.create_map(*[F.lit(x) for t in names for x in (t, float(max(2, COMMON_PART * documents[t])))]) if names else None
+    rows = counts.where(F.col("word").isNotNull() & (F.col("n") >= bar[F.col("tag")])).collect() if names else []
+    pools = [sorted((r for r in rows if r.tag == t), key=lambda r: (-r.n, r.word)) for t in names]
+    kept = [p[:WORDS] for p in pools]
+    function = [[r for r in p if r.short][:FUNCTION_WORDS] for p in pools]
+    words = np.unique(np.array([r.word for p in (*kept, *function) for r in p], np.int64).view(np.uint64))
+    tables = np.zeros((2, max(len(names), 1), len(words) + 1), bool)
+    for k, lists in enumerate((kept, function)):
+        for i, p in enumerate(lists):
+            tables[k, i, np.searchsorted(words, np.array([r.word for r in p], np.int64).view(np.uint64))] = True
+    return Languages(names or ["und"], [documents.get(t, 0) for t in names] or [0], words, tables[0], tables[1])
+
+
+def _tell(la: Languages, w: T.Words, tagged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The language of each part, and whether each word is a function word of it."""
+    n = len(w.begin)
+    at = np.searchsorted(la.words, w.hash)
+    at[(at == len(la.words)) | (la.words[np.minimum(at, len(la.words) - 1)] != w.hash if len(la.words) else True)] = len(la.words)
+    hit = at < len(la.words)
+    part, word = w.part[hit], at[hit]
+    cover = np.stack([np.bincount(part[k[word]], minlength=n) for k in la.known]) / np.maximum(np.bincount(w.part, minlength=n), 1)
+    most = cover.max(0)
+    language = np.where(most >= TOLD, (cover >= 0.9 * most).argmax(0), tagged)  # languages stand in order of size
+    return language, la.function[language[w.part], at]
+
+
+_RATES = ", ".join(f"{f} array<float>" for f in FEATURES)
+
+
+def _measurer(la: Languages):
+    names = ["key", "language", "n_words", "n_chars", *FEATURES]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {t: i for i, t in enumerate(la.names)}
+        for b in batches:
+            tagged = np.array([index.get(primary(x), 0) for x in b.column(1).to_pylist()], np.int64)
+            rows, tables = [], []
+            for block in T.blocks(b.column(2)):
+                w = T.words(*block)
+                language, common = _tell(la, w, tagged[w.rows])
+                s = T.counted(w, common)
+                rows.append(w.rows[s.part])
+                tables.append(np.column_stack([language[s.part], s.n_words, s.n_chars, s.counts]).astype(np.float32))
+            row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            table = np.concatenate(tables) if tables else np.zeros((0, 3 + len(FEATURES)), np.float32)
+            offsets = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
+            columns = [pa.array(table[:, 0].astype(np.int32)), *[pa.array(np.ascontiguousarray(table[:, i])) for i in range(1, table.shape[1])]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.ListArray.from_arrays(offsets, c) for c in columns]], names)
+
+    return run
 
-def measured(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, language, the features and the share of spam-like characters of each row; blank texts have null features."""
+
+def measured(df: DataFrame, key: str, text: str, tag: str | None, la: Languages) -> DataFrame:
+    """key and, of every stretch of its text, language, words, characters and counts. Null and empty texts have no stretches."""
     kind = df.select(key).schema[0].dataType.simpleString()
-    schema = f"key {kind}, language string, {', '.join(f'{f} double' for f in FEATURES)}, share double"
-    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(_measurer, schema)
+    lang = df[tag] if tag else F.lit(None).cast("string")
+    return df.select(df[key].alias("key"), lang.alias("tag"), df[text].alias("text")).mapInArrow(_measurer(la), f"key {kind}, language array<int>, n_words array<float>, n_chars array<float>, {_RATES}")
 
 
-#: Least scale of a feature, so that one that hardly varies can't explode.
-FLOOR = 0.02
-#: Part of the identity mixed into the scatter.
-SHRINK = 0.2
+def _table(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, words, characters and counts of all stretches of a batch."""
+    flat = [b[n].flatten().to_numpy(zero_copy_only=False) for n in ("language", "n_words", "n_chars", *FEATURES)]
+    return flat[0], flat[1].astype(float), flat[2].astype(float), np.column_stack(flat[3:]).astype(float)
+
 
+def _sizes(n_words: np.ndarray, n_chars: np.ndarray) -> np.ndarray:
+    return np.column_stack([n_words] * (len(FEATURES) - 1) + [n_chars])
 
-def _beside(f: DataFrame, values: dict[str, np.ndarray], name: str) -> DataFrame:
-    """Adds an array of values of each row's language. One row a language of the fixed list: a bounded broadcast."""
-    small = f.sparkSession.createDataFrame([(k, [float(x) for x in v]) for k, v in values.items()], f"language string, {name} array<double>")
-    return f.join(F.broadcast(small), "language")
+
+#: Steps of a rate in the tables of counts from which medians are read, and the greatest rate told apart.
+STEP, MOST = 0.0005, 2.0
+
+
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many stretches of each language have which rate of each feature: a bounded table for each partition."""
+    bins = int(MOST / STEP) + 1
+    counts: dict[int, np.ndarray] = {}
+    for b in batches:
+        language, n, chars, c = _table(b)
+        r = np.minimum(c / np.maximum(_sizes(n, chars), 1), MOST)
+        for k in np.unique(language):
+            at = (language == k) & (n >= LEAST_WORDS)
+            counts.setdefault(int(k), np.zeros((len(FEATURES), bins), np.int64))
+            for f in range(len(FEATURES)):
+                counts[int(k)][f] += np.bincount((r[at, f] / STEP + 0.5).astype(np.int64), minlength=bins)
+    for k, v in counts.items():
+        f, at = np.nonzero(v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), k, np.int32)), pa.array(f.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(v[f, at])], ["language", "feature", "rate", "n"])
 
 
-def robust_models(features: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Centre, scale and inverse scatter of each language, from all rows; of ``xx`` (none told), from those of all languages.
+Model = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    The result has one entry a language of a fixed list; nothing else comes to the driver.
+
+def _signs(centres: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """Sums of the products of spatial signs: one row for each language and partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            language, n, chars, c = _table(b)
+            r = c / np.maximum(_sizes(n, chars), 1)
+            for k, (centre, scale) in centres.items():
+                z = (r[(language == k) & (n >= LEAST_WORDS)] - centre) / scale
+                u = z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
+                sums[k] = sums.get(k, 0) + np.append((u.T @ u).ravel(), len(u))
+        for k, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tolist()], pa.list_(pa.float64()))], ["language", "sums"])
+
+    return run
+
+
+def _middle(values: np.ndarray, n: np.ndarray) -> float:
+    order = np.argsort(values, kind="stable")
+    run = np.cumsum(n[order])
+    return float(values[order][np.searchsorted(run, run[-1] / 2)])
+
+
+def robust_models(features: DataFrame, n_languages: int) -> dict[int, Model]:
+    """Centre, scale and inverse scatter of each language, from all stretches of enough words; -1 stands for all languages.
+
+    Tables of counts, whose size is bounded by the number of languages, are all that comes to the driver.
     """
-    names = list(FEATURES)
-    f = features.where(F.col(names[0]).isNotNull())
-    f = f.select(F.explode(F.array_distinct(F.array("language", F.lit("xx")))).alias("language"), *names)
-    middle = lambda columns: F.array(*[F.percentile_approx(c, 0.5, 10_000) for c in columns]).alias("c")
-    centre = {r.language: np.array(r.c, float) for r in f.groupBy("language").agg(middle(names)).collect()}
-    if not centre:
+    # one row a language, feature and step of a rate, however many stretches there are
+    rows = features.mapInArrow(_histogram, "language int, feature int, rate int, n bigint").groupBy("language", "feature", "rate").agg(F.sum("n").alias("n")).toArrow()
+    if not rows.num_rows:
         return {}
-    off = _beside(f, centre, "_c").select("language", *[(F.col(x) - F.col("_c")[i]).alias(x) for i, x in enumerate(names)])
-    spread = {r.language: np.maximum(1.4826 * np.array(r.c, float), FLOOR) for r in off.groupBy("language").agg(middle([F.abs(x) for x in names])).collect()}
-    z = _beside(off, spread, "_s").select("language", *[(F.col(x) / F.col("_s")[i]).alias(x) for i, x in enumerate(names)])
-    norm = F.greatest(F.sqrt(sum((F.col(x) * F.col(x) for x in names), F.lit(0.0))), F.lit(1e-9))
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    sums = z.groupBy("language").agg(F.array(*[F.avg(F.col(names[i]) / norm * F.col(names[j]) / norm) for i, j in pairs]).alias("c")).collect()
+    language, feature, rate, n = (rows[c].to_numpy() for c in ("language", "feature", "rate", "n"))
+    found = {}
+    for k in (-1, *range(n_languages)):
+        mine = (language == k) | (k < 0)
+        if n[mine & (feature == 0)].sum() < LEAST_DOCUMENTS and k >= 0:
+            continue
+        centre, scale = np.zeros(len(FEATURES)), np.zeros(len(FEATURES))
+        for f in range(len(FEATURES)):
+            at = mine & (feature == f)
+            value = rate[at] * STEP
+            centre[f] = _middle(value, n[at])
+            scale[f] = max(1.4826 * _middle(np.abs(value - centre[f]), n[at]), FLOOR[f])
+        found[k] = (centre, scale)
+    sums = features.mapInArrow(_signs({k: v for k, v in found.items() if k >= 0}), "language int, sums array<double>").collect()
     models = {}
-    for r in sums:
-        m = np.zeros((len(names), len(names)))
-        for (i, j), v in zip(pairs, r.c):
-            m[i, j] = m[j, i] = v * len(names)
-        models[r.language] = (centre[r.language], spread[r.language], np.linalg.inv((1 - SHRINK) * m + SHRINK * np.eye(len(names))))
+    for k, (centre, scale) in found.items():
+        total = sum((np.array(r.sums) for r in sums if r.language == k or k < 0), np.zeros(len(FEATURES) ** 2 + 1))
+        m = total[:-1].reshape(len(FEATURES), -1) / max(total[-1], 1) * len(FEATURES)
+        models[k] = (centre, scale, np.linalg.inv((1 - SHRINK) * m + SHRINK * np.eye(len(FEATURES))))
     return models
 
 
-#: Distance beyond which a document is an outlier. Kept low: the exact check follows.
-FAR = 3.0
+def offsets(n_words: np.ndarray, n_chars: np.ndarray, counts: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Offset of each stretch in scales of its language, and its robust Mahalanobis distance."""
+    centre, scale, inverse = model
+    z = ((counts + PRIOR * centre) / (_sizes(n_words, n_chars) + PRIOR) - centre) / scale
+    return z, np.sqrt(np.maximum(np.einsum("ni,ij,nj->n", z, inverse, z), 0))
 
 
-def _projector(models: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], far: float):
+def spamward(z: np.ndarray) -> np.ndarray:
+    """Whether offsets point away from prose and toward repetition, sameness, marks, links or the lack of sentences."""
+    away = np.minimum(z[:, :4], ENOUGH) @ AWAY / np.sqrt((AWAY**2).sum())
+    return (away > LEAST_AWAY) & (np.maximum(z[:, 4:].max(1), z[:, 2]) > LEAST_TOWARD)
+
+
+def _judge(models: dict[int, Model], far: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.column_stack([b[n].to_numpy(zero_copy_only=False) for n in FEATURES]).astype(float)
-            languages = b["language"].to_numpy(zero_copy_only=False)
-            distance, toward = np.full(len(x), np.nan), np.full(len(x), np.nan)
-            for k, (centre, scale, inverse) in models.items():
-                at = languages == k
-                z = (x[at] - centre) / scale
-                distance[at] = np.sqrt(np.maximum(np.einsum("ni,ij,nj->n", z, inverse, z), 0))
-                toward[at] = z.sum(axis=1)
-            keep = pa.array((distance > far) & (toward > 0))
-            out = pa.RecordBatch.from_arrays([b["key"], b["language"], b["share"], pa.array(distance), pa.array(toward)], ["key", "language", "share", "distance", "toward"])
-            yield out.filter(keep)
+            language, n, chars, c = _table(b)
+            distance, hit = np.zeros(len(n)), np.zeros(len(n), bool)
+            for k in np.unique(language):
+                at = language == k
+                z, distance[at] = offsets(n[at], chars[at], c[at], models.get(int(k), models.get(-1)))
+                hit[at] = (distance[at] > far) & spamward(z)
+            size = pc.list_value_length(b["language"]).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), size)
+            total = np.maximum(np.bincount(row, chars, b.num_rows), 1)
+            share = np.bincount(row, chars * hit, b.num_rows) / total
+            mean = np.bincount(row, chars * distance, b.num_rows) / total
+            first = np.searchsorted(row, np.arange(b.num_rows))
+            of = np.where(size > 0, language[np.minimum(first, max(len(language) - 1, 0))] if len(language) else 0, -1)
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array(of.astype(np.int32)), pa.array(share), pa.array(mean)], ["key", "language", "share", "distance"])
 
     return run
 
 
-def suspects(features: DataFrame, far: float = FAR) -> DataFrame:
-    """Outliers toward spam: key, language, share, distance, and the offset toward spam (features all turn upward there)."""
+def judged(df: DataFrame, key: str, text: str, tag: str | None = None, *, far: float = FAR) -> DataFrame:
+    """key, language, share of characters in spam stretches, and mean distance of the stretches, of every row."""
+    la = languages(df, text, tag)
+    features = written(measured(df, key, text, tag, la), "spam")
+    models = robust_models(features, len(la.names))
     kind = features.select("key").schema[0].dataType.simpleString()
-    return features.mapInArrow(_projector(robust_models(features), far), f"key {kind}, language string, share double, distance double, toward double")
-
-
-def written_features(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The features of all rows, computed once and kept in the shared folder."""
-    return written(measured(df, key, text), "spam")
+    zero = (np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.eye(len(FEATURES)))
+    out = features.mapInArrow(_judge(models or {-1: zero}, far if models else np.inf), f"key {kind}, language int, share double, distance double")
+    names = F.array(*[F.lit(t) for t in la.names])
+    return out.select("key", F.when(F.col("language") >= 0, F.get(names, F.col("language"))).alias("language"), "share", "distance")
 
 
-def spam_pages(df: DataFrame, key: str, text: str, *, share: float = 0.5) -> DataFrame:
-    """Keys of the rows that are suspects and more than ``share`` of whose characters are links, tags or listed keywords.
+def spam_pages(df: DataFrame, key: str, text: str, tag: str | None = None, *, share: float = 0.5, far: float = FAR) -> DataFrame:
+    """Keys of the rows more than ``share`` of whose characters lie in stretches far out toward spam.
 
-    Null and blank texts are none. Repeated rows each give their own; an empty table gives none. Whole texts are read, and
-    the statistics come from all rows.
+    ``tag`` names a column that tells the language; tags may be wrong, as a text's own words come first. Null, empty and blank
+    texts are never found. Repeated rows each give their own; an empty table gives none. Whole texts are read, a text of more
+    than a million characters in parts, and all statistics come from all rows.
     """
-    return suspects(written_features(df, key, text)).where(F.col("share") > share).select(F.col("key").alias(key))
+    return judged(df, key, text, tag, far=far).where(F.col("share") > share).select(F.col("key").alias(key))
