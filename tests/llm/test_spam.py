@@ -143,7 +143,7 @@ def test_counts_equal_plain_counts():
     assert s.n_words[0] == len(words) and s.n_chars[0] == len(text)
     assert c["plain"] == len(words) - sum(len(x) < 3 and x.islower() for x in words)
     assert c["unstopped"] == len(words) - 1 and c["marks"] == 2 and c["links"] == len("http://a.b/c")
-    assert c["unnamed"] == len(words) - 6 and c["repetition"] == 2
+    assert c["unnamed"] == len(words) - 8 and c["repetition"] == 2
 
 
 def test_long_texts_are_taken_in_parts(monkeypatch):
