@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 #: Splits text into pieces before the merges, as the vocabulary's makers fixed it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters past a piece's end after which its split can't change.
+#: Characters past a piece's end after which its split can't change: the longest contraction of the pattern has three.
 PIECE_LOOKAHEAD = 3
 #: Characters taken at once from a text.
 BLOCK = 256
@@ -59,6 +59,7 @@ class Vocabulary:
         self.longest = max(map(len, self.ranks))
         self._ends: dict | None = None
         self._fits: dict[tuple[int, int], bool] = {}
+        self._wholes: dict[int, bool] = {}
 
     @property
     def ends(self) -> dict:
@@ -72,6 +73,19 @@ class Vocabulary:
                 node[-1] = i
         return self._ends
 
+    @property
+    def lookahead(self) -> int:
+        """Bytes after which a token can't change any more but by what all longer texts agree on: found from the merge list, it is
+        the length of its longest token. A token that ends later begins after the end of one that ends this far back or earlier."""
+        return self.longest
+
+    def whole(self, t: int) -> bool:
+        """Whether the merges make the bytes of a token into that token; some entries of a list can't be reached."""
+        known = self._wholes.get(t)
+        if known is None:
+            known = self._wholes[t] = self.core._encode_single_piece(self.tokens[t]) == [t]
+        return known
+
     def fits(self, a: int, b: int) -> bool:
         """Whether the merges leave the tokens a and b, one after the other, as they are."""
         known = self._fits.get((a, b))
@@ -113,16 +127,12 @@ class PieceStream:
                         ok = self.done == 0 or v.fits(self.carry, t)
                     else:
                         ok = last[before - 1] >= 0 and v.fits(last[before - 1], t)
-                    if ok and self._whole(t):
+                    if ok and v.whole(t):
                         found = t
                         break
                 at -= 1
             last.append(found)
-        return self._emit() if len(tail) >= 4 * v.longest else []
-
-    @lru_cache(maxsize=100_000)  # noqa: B019
-    def _whole(self, t: int) -> bool:
-        return self.v.core._encode_single_piece(self.v.tokens[t]) == [t]
+        return self._emit() if len(tail) >= 4 * v.lookahead else []
 
     def _chain(self, end: int) -> list[int]:
         """Ends of the tokens of the prefix, from the last to the first."""
@@ -135,7 +145,7 @@ class PieceStream:
     def _emit(self) -> list[int]:
         n = len(self.tail)
         common: set[int] | None = None
-        for end in range(max(1, n - self.v.longest + 1), n + 1):
+        for end in range(max(1, n - self.v.lookahead + 1), n + 1):
             if self.last[end - 1] >= 0:
                 chain = set(self._chain(end))
                 common = chain if common is None else common & chain
@@ -203,8 +213,7 @@ class Encoder:
     def _outgrown(self, held: str) -> tuple[str, list[int]]:
         """Bytes of a piece that goes on past the block; its last characters stay, and so does its kind."""
         keep = PIECE_LOOKAHEAD + 1
-        if held[-keep:].isspace() and not held.strip():
-            return held, []  # white space is one piece, but for its last character: kept whole
+        # a run of white space is a piece but for its last character, which is among those kept
         head, rest = held[:-keep], held[-keep:]
         m = self.v.pieces.match(head)
         if m.end() < len(head):

@@ -30,6 +30,20 @@ def test_typical_texts_go_through_the_encoder(v, monkeypatch):
     assert max(most) < len(text) / 2
 
 
+@pytest.mark.parametrize("text", [" " * 400_000, "\n" * 100_000 + "x", "x" + " \t" * 60_000 + " y", "a" * 100_000, "=" * 100_000, "9" * 50_000, "word " * 40_000, "夜" * 50_000, "don't" * 20_000])
+def test_memory_is_constant(v, text):
+    e, ids, most = E.Encoder(v), [], 0
+    for at in range(0, len(text), 1000):
+        ids += e.feed(text[at : at + 1000])
+        most = max(most, len(e.held) + (len(e.stream.tail) if e.stream else 0))
+    assert most <= 2 * E.BLOCK + 8 * v.lookahead
+    assert ids + e.finish() == v.core.encode_ordinary(text)
+
+
+def test_lookahead_comes_from_the_merge_list(v):
+    assert v.lookahead == max(len(t) for t in v.ranks) and not hasattr(E.PieceStream, "_whole")
+
+
 def test_random_feeds(v):
     rnd = random.Random(5)
     alphabet = ["a", "the", "'", "'s", " ", "  ", "\n", "9", "é", "日", "—", "''", "ing", "_", "\t", "zzzz", "\r\n"]
