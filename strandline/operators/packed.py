@@ -5,10 +5,11 @@ A parsing expression grammar with ordered alternatives reads each field left to
     field  <- sep* (value sep*)* end
     value  <- quoted / bracketed / bare
     quoted <- '"' [^"]* '"' / "'" [^']* "'"
+    bracketed <- '[' [^]]* ']'
     bare   <- [^ sep]+
 
-A quote without its partner makes the quoted alternative fail; the parser backtracks to that place and takes the bare
-alternative, which keeps the quote and flags the value. ``values_of`` is the same grammar as a native column expression,
+A quote or bracket without its partner makes its alternative fail; the parser backtracks to that place and takes the bare
+alternative, which keeps the mark and flags the value. Where brackets mean nothing, their alternative is left out. ``values_of`` is the same grammar as a native column expression,
 for operators that need the values of a whole table and not their flags.
 """
 
@@ -59,14 +60,14 @@ def parse(text: str, separators: str = SEPARATORS, brackets: bool = False, stop:
 _KEY = re.compile(r"[;\s]*([^=;\s\"']*)(?:[ \t]*=[ \t]*|[ \t]+|(?=;)|$)")
 
 
-def parse_entries(text: str, keys: frozenset[str], separators: str = SEPARATORS) -> list[tuple[str, str | None]]:
+def parse_entries(text: str, keys: frozenset[str], separators: str = SEPARATORS, brackets: bool = False) -> list[tuple[str, str | None]]:
     """Values of all entries ``key=values`` or ``key "value"`` whose key, in lower case, is one of ``keys``, left to right."""
     found: list[tuple[str, str | None]] = []
     at, end = 0, len(text)
     while at < end:
         m = _KEY.match(text, at)
         key, at = (m[1].lower(), m.end()) if m and m.end() > at else ("", at)
-        values, stopped = parse(text, separators, stop=";", at=at)
+        values, stopped = parse(text, separators, brackets, ";", at)
         if key in keys:
             found += values
         at = max(stopped, at) if stopped > at or stopped == end or text[stopped] == ";" else at + 1
@@ -75,14 +76,14 @@ def parse_entries(text: str, keys: frozenset[str], separators: str = SEPARATORS)
     return found
 
 
-def _splitter(fields: list[tuple[str, str, frozenset[str]]], least: int, schema: pa.Schema, id_columns: int):
+def _splitter(fields: list[tuple[str, str, frozenset[str]]], least: int, schema: pa.Schema, id_columns: int, brackets: bool):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, names, places, values, flags = [], [], [], [], []
             for i, (_, name, keys) in enumerate(fields):
                 column = b.column(id_columns + i)
                 for row, text in zip(column.is_valid().to_numpy(zero_copy_only=False).nonzero()[0], column.drop_null().to_pylist()):
-                    got = parse_entries(text, keys) if keys else parse(text)[0]
+                    got = parse_entries(text, keys, brackets=brackets) if keys else parse(text, brackets=brackets)[0]
                     if len(got) < least:
                         continue
                     for pos, (value, flag) in enumerate(got, 1):
@@ -98,14 +99,15 @@ def _splitter(fields: list[tuple[str, str, frozenset[str]]], least: int, schema:
     return split
 
 
-def split_packed(df: DataFrame, ids: list[str], fields: dict[str, str], entries: dict[str, tuple[str, list[str]]] | None = None, least: int = 1) -> DataFrame:
+def split_packed(df: DataFrame, ids: list[str], fields: dict[str, str], entries: dict[str, tuple[str, list[str]]] | None = None, least: int = 1, brackets: bool = False) -> DataFrame:
     """One row a value: the id columns, field, pos (from 1), value and flag (null, or why the value is malformed).
 
     ``fields`` gives the output name of each column that is a list of values; ``entries`` the output names of columns of
     attributes, with the keys whose values are wanted. Fields with fewer than ``least`` values give no row. Null, empty and
-    blank fields give none; empty pieces are no values; repeated rows give theirs each. Only the columns named are read.
+    blank fields give none; empty pieces are no values; repeated rows give theirs each. With ``brackets``, a value may also stand
+    in square brackets, which are no part of it and keep separators inside. Only the columns named are read.
     """
-    marks = "[" + re.escape(SEPARATORS).replace("/", "\\/") + "\"']"
+    marks = "[" + re.escape(SEPARATORS).replace("/", "\\/") + "\"'" + ("\\[" if brackets else "") + "]"
     spec: list[tuple[str, str, frozenset[str]]] = []
     chosen, wanted = [F.col(c) for c in ids], F.lit(False)
     for i, (column, name) in enumerate(fields.items()):
@@ -125,7 +127,7 @@ def split_packed(df: DataFrame, ids: list[str], fields: dict[str, str], entries:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = T.StructType([T.StructField(c, kinds[c]) for c in ids] + [T.StructField("field", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("flag", T.StringType())])
-    return slim.mapInArrow(_splitter(spec, least, to_arrow_schema(out), len(ids)), out)
+    return slim.mapInArrow(_splitter(spec, least, to_arrow_schema(out), len(ids), brackets), out)
 
 
 def values_of(column: Column | str) -> Column:

@@ -60,9 +60,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_values(spark: SparkSession, d: str) -> DataFrame:
-    """Every value of every packed field, single ones too, with its flag."""
+    """Every value of every packed field, single and bracketed ones too, with its flag."""
     ship(spark)
-    return packed.split_packed(table(spark, d, "features"), ["row_id"], {"parent": "parent"}, XREF)
+    return packed.split_packed(table(spark, d, "features"), ["row_id"], {"parent": "parent"}, XREF, brackets=True)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -148,8 +148,27 @@ WITH v AS (
     lambda x: {_VALUES.format(c="regexp_replace(x, '^[^A-Za-z]*[A-Za-z_]+[ ]*[= ][ ]*', '')")})) FROM features WHERE attributes ILIKE '%xref%')
 SELECT row_id, field, CAST(pos AS INTEGER) AS pos, vs[pos] AS value FROM (SELECT row_id, field, vs, unnest(range(1, len(vs) + 1)) AS pos FROM v WHERE len(vs) >= 2)"""
 
+_TOKENS = r"""regexp_extract_all({c}, '"[^"]*"|''[^'']*''|\[[^\]]*\]|[^ \t,;|/]+')"""
+_FLAGGED = """list_filter(list_transform({t}, lambda t: CASE
+  WHEN length(t) >= 2 AND ((starts_with(t, '"') AND ends_with(t, '"')) OR (starts_with(t, '\'\'') AND ends_with(t, '\'\'')) OR (starts_with(t, '[') AND ends_with(t, ']'))) THEN {{'v': t[2:-2], 'f': NULL::VARCHAR}}
+  WHEN t[1] IN ('"', '\'\'', '[') THEN {{'v': t, 'f': 'unclosed'}} ELSE {{'v': t, 'f': NULL}} END), lambda x: x.v <> '')"""
+_P4_VALUES = rf"""
+WITH v AS (
+  SELECT row_id, 'parent' AS field, {_FLAGGED.format(t=_TOKENS.format(c="parent"))} AS vs FROM features WHERE parent IS NOT NULL
+  UNION ALL SELECT row_id, 'dbxref', flatten(list_transform(list_filter(regexp_extract_all(attributes, '(?:"[^"]*"|''[^'']*''|[^;"''])+'), lambda x: regexp_matches(lower(x), '^\s*(dbxref|db_xref)\s*[= ]')),
+    lambda x: {_FLAGGED.format(t=_TOKENS.format(c="regexp_replace(x, '^[^A-Za-z]*[A-Za-z_]+[ ]*[= ][ ]*', '')"))})) FROM features WHERE attributes ILIKE '%xref%')
+SELECT row_id, field, CAST(pos AS INTEGER) AS pos, vs[pos].v AS value, vs[pos].f AS flag FROM (SELECT row_id, field, vs, unnest(range(1, len(vs) + 1)) AS pos FROM v)"""
+
+_UNQUOTED = """CASE WHEN {v} LIKE '"%"' AND length({v}) >= 2 THEN replace({v}[2:-2], '""', '"') ELSE {v} END"""
+_ATTRIBUTE = "translate(" + _UNQUOTED.format(v="trim(vs[list_position(ks, '{k}')])") + ", chr(1) || chr(2), ';=') AS {n}"
+_P3_LOADED = _P3[: _P3.index("SELECT line_id, reason FROM (")] + """SELECT f.line_id, file_id, line_no, c[1] AS seqid, nullif(c[2], '.') AS source, c[3] AS type, TRY_CAST(c[4] AS BIGINT) AS "start", TRY_CAST(c[5] AS BIGINT) AS "end",
+  TRY_CAST(nullif(c[6], '.') AS DOUBLE) AS score, c[7] AS strand, TRY_CAST(nullif(c[8], '.') AS TINYINT) AS phase, nullif(c[9], '.') AS attributes, """ + ", ".join(_ATTRIBUTE.replace("{k}", k).replace("{n}", k.lower()) for k in ("ID", "Parent", "accession")) + """
+FROM f JOIN (SELECT line_id, file_id, line_no FROM raw_gff3) k ON k.line_id = f.line_id ANTI JOIN (""" + _P3.strip() + """) bad ON bad.line_id = f.line_id"""
+
 ORACLE = {
     "p3_found": _P3,
+    "p3_loaded": _P3_LOADED,
+    "p4_values": _P4_VALUES,
     "p4_found": _P4,
     "p2_found": _P2
     + """

@@ -139,6 +139,16 @@ LINES = [
     "s\tx\tgene\t1\t2\t.\t+\t3\tID=a",
     "s\tx\tCDS\t1\t2\t.\t+\t.\tID=a",
     "s\tx\tCDS\t1\t2\t.\t+\t0\tID=a",
+    "s\tx\tgene\t1\t20\r\t.\t+\t.\tID=a",
+    "s\tx\tgene\t1\t20\n\t.\t+\t.\tID=a",
+    "s\tx\tgene\t1\n\t20\t.\t+\t.\tID=a",
+    "s\tx\tgene\t1\t2\t1.5\n\t+\t.\tID=a",
+    "s\tx\tgene\t1\t2\t.\t+\t.\taccession=AB_1.1\u0085",
+    's\tx\tgene\t1\t2\t.\t+\t.\taccession="AB_1.1\n"',
+    's\tx\tgene\t1\t2\t.\t+\t.\taccession="AB_1.1";ID="b"',
+    's\tx\tgene\t1\t2\t.\t+\t.\taccession="AB-1.1";ID="b"',
+    's\tx\tgene\t1\t2\t.\t+\t.\tID="";x=y',
+    's\tx\tgene\t1\t2\t.\t+\t.\tID="a=b;c";lost',
     's\tx\tgene\t1\t2\t.\t+\t.\tNote="' + "x; " * 20_000 + '"',
     "s\tx\tgene\t1\t2\t.\t+\t.\t" + "ID=a;" * 20_000 + "%zz",
 ]
@@ -156,6 +166,15 @@ def test_reasons(spark):
     assert rows(gff3_rows.rejected(df.where("false"), "line_id")) == []
 
 
+def test_errors_name_rule_and_column(spark):
+    lines = ['"s"\t\tgene\tx\t2\t1,5\t*\t7\tID=', 's\tx\tCDS\t9\t2\t.\t+\t.\tNote=a"b', "a\tb", "s\tx\tgene\t1\t2\t.\t+\t.\tID=a"]
+    got = {r.line_id: r.errors for r in gff3_rows.with_errors(spark.createDataFrame(list(enumerate(lines)), "line_id bigint, line string")).collect()}
+    assert got == {
+        0: ["quoting:seqid", "value:source", "value:start", "value:score", "value:strand", "value:phase", "value:attributes"],
+        1: ["quoting:attributes", "value:end", "value:phase"], 2: ["columns"], 3: [],
+    }
+
+
 # 4
 TEXTS = [None, "", "  ", "a", "a,b", " a | b/c;d\te ", "\"x y\",'p;q'", "\"open, b", "5'UTR,3'UTR", ",,a,,", '"",a', "it's", "\"a\"b", "a" * 50_000 + "," + "b", "x,x", "x,x", ",".join("v%d" % i for i in range(5000))]
 
@@ -171,6 +190,19 @@ def test_values(spark):
     assert rows(flags) == [('"open', "unclosed"), ("b", None)]
 
 
+def test_brackets(spark):
+    texts = ["[a b],c", "[a,b", "a[b c]", "[]", "[[a]]", "['x y'] \"[q r]\"", "x,[y;z]|[u v]", "]a", "[a\"b c\"", None]
+    want = [[("a b", None), ("c", None)], [("[a", "unclosed"), ("b", None)], [("a[b", None), ("c]", None)], [], [("[a", None), ("]", None)], [("'x y'", None), ("[q r]", None)],
+            [("x", None), ("y;z", None), ("u v", None)], [("]a", None)], [('[a"b', "unclosed"), ('c"', None)], []]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, parent string")
+    got = packed.split_packed(df, ["row_id"], {"parent": "parent"}, brackets=True).select("row_id", "pos", "value", "flag")
+    assert rows(got) == sorted(((i, p, v, f) for i, w in enumerate(want) for p, (v, f) in enumerate(w, 1)), key=str)
+    assert rows(packed.split_packed(df.where("row_id = 0"), ["row_id"], {"parent": "parent"}).select("value")) == sorted([("[a",), ("b]",), ("c",)])
+    entries = spark.createDataFrame([(1, "Dbxref=[a;b c],d;x=[y"), (2, "db_xref \"[p]\"")], "row_id bigint, attributes string")
+    got = packed.split_packed(entries, ["row_id"], {}, {"attributes": ("dbxref", ["dbxref", "db_xref"])}, brackets=True).select("row_id", "pos", "value")
+    assert rows(got) == sorted([(1, 1, "a;b c"), (1, 2, "d"), (2, 1, "[p]")], key=str)
+
+
 def test_entries(spark):
     texts = [
         "Name=a;Dbxref=X:1,Y:2;z=w", 'Name "a"; db_xref "X:1"; DB_XREF "Y:2";', 'dbxref=X:1;Note="Dbxref=N:1,N:2; more";DBxref=Y 2', 'Dbxref="A b;c",\'d;e\'',
