@@ -163,56 +163,65 @@ def in_intron(outer: dict, inner: dict) -> bool:
 
 
 def refine(row: dict, delta: int = 500, by_cds: bool = True, least: int = 1) -> list[dict]:
-    """The loci that an extended locus with several genes falls into."""
+    """The loci that an extended locus with several genes falls into, in order of their genes' positions.
+
+    A bin of two genes, the second within an intron of the first, gives a locus each. Loci reach delta beyond their genes but not
+    past the locus they come from; the first and the one that ends last close what gaps remain. Effective lengths, and the
+    lengths of the stretches left and right (liil, riil), are null where the rules give none.
+    """
     S, E, lo, ro = row["start"], row["end"], row["left_overlap"] or 0, row["right_overlap"] or 0
     parts: list[dict] = []
     for b in bins_of(row["genes"], by_cds, least):
         if len(b) == 2 and in_intron(b[0], b[1]):
-            parts += [{"genes": [b[0]]}, {"genes": [b[1]], "exception": "intron-gene"}]
+            parts += [{"genes": [b[0]], "type": "ciLocus"}, {"genes": [b[1]], "exception": "intron-gene"}]
         else:
             parts.append({"genes": b})
     for p in parts:
-        p["start"], p["end"] = min(g["start"] for g in p["genes"]), max(g["end"] for g in p["genes"])
-        p["start"] = S if S + delta > p["start"] else p["start"] - delta
-        p["end"] = E if E - delta < p["end"] else p["end"] + delta
-        p["coding"] = any(g["cs"] is not None for g in p["genes"])
-    parts.sort(key=lambda p: (p["start"], p["end"], p["genes"][0]["gene_id"]))
-    parts[0]["start"] = S
-    max(parts, key=lambda p: p["end"])["end"] = E
-    size = lambda p: p["end"] - p["start"] + 1
-    half = lambda x: (-(-x // 2), x // 2)
-    whole = E - S + 1 - half(lo)[0] - half(ro)[1]
-    parts[0]["liil"], parts[-1]["riil"] = row["liil"], row["riil"]
-    same = len({p["coding"] for p in parts}) == 1
+        p["at"] = min(g["start"] for g in p["genes"]), max(g["end"] for g in p["genes"])
+    parts.sort(key=lambda p: (p["at"], p["genes"][0]["gene_id"]))
     for p in parts:
-        n = len(p["genes"])
-        p["type"] = "niLocus" if not p["coding"] else "siLocus" if n == 1 else "ciLocus"
-        if p["coding"] and n > 1:
-            p.setdefault("exception", f"complex-overlap-{n}")
-        p["effective"] = 0
-    if len(parts) == 1 or same:
-        parts[0]["effective"] = whole
-        if len(parts) == 2 and parts[1].get("exception") != "intron-gene":
-            parts[0].setdefault("exception", "gene-overlap-gene")
-        if len(parts) >= 2:
-            parts[0]["riil"] = parts[1]["liil"] = 0
-    elif len(parts) == 2:
+        start, end = p["at"]
+        p["start"] = S if S + delta > start else start - delta
+        p["end"] = E if end + delta > E else end + delta
+        p["coding"] = any(g["cs"] is not None for g in p["genes"])
+    n_parts = len(parts)
+    first, last = parts[0], max(reversed(parts), key=lambda p: p["end"])
+    first["start"], last["end"] = S, E
+    first["effective"] = E - S + 1 - -(-lo // 2) - ro // 2
+    crowded = f"complex-overlap-{len(row['genes'])}"
+    apart = n_parts == 2 and parts[1].get("exception") != "intron-gene"
+    if len({p["coding"] for p in parts}) == 1:
+        if apart:
+            first |= {"exception": "gene-overlap-gene", "riil": 0}
+            parts[1]["liil"] = 0
+        for p in parts:
+            several = p["coding"] and len(p["genes"]) > 1
+            if several:
+                p["exception"] = crowded
+            p.setdefault("type", "niLocus" if not p["coding"] else "ciLocus" if several else "siLocus")
+    elif n_parts == 2:
+        for p in parts:
+            p["type"] = "siLocus" if p["coding"] else "niLocus"
         a, b = parts
-        if a["start"] <= b["start"] and b["end"] <= a["end"]:
-            a["effective"] = whole
-            b["exception"] = b.get("exception") or "gene-contain-gene"
-            b["liil"] = b["riil"] = 0
+        if b["end"] <= a["end"] and a["start"] <= b["start"]:
+            b["effective"] = 0
+            if apart:
+                a |= {"exception": "gene-contain-gene", "liil": row["liil"], "riil": row["riil"]}
+                b |= {"liil": 0, "riil": 0}
         else:
             shared = a["end"] - b["start"] + 1
-            a["effective"] = size(a) - half(lo)[0] - half(shared)[1]
-            b["effective"] = size(b) - half(shared)[0] - half(ro)[1]
-            a.setdefault("exception", "gene-overlap-gene")
-            a["riil"] = b["liil"] = 0
+            a["effective"] = a["end"] - a["start"] + 1 - -(-lo // 2) - shared // 2
+            b["effective"] = b["end"] - b["start"] + 1 - -(-shared // 2) - ro // 2
+            if apart:
+                a |= {"exception": "gene-overlap-gene", "liil": row["liil"], "riil": 0}
+                b |= {"liil": 0, "riil": row["riil"]}
     else:
-        parts[0]["effective"] = whole
-        parts[0].setdefault("exception", f"complex-overlap-{len(parts)}")
-        for p in parts[1:-1]:
-            p["liil"] = p["riil"] = 0
+        right = max(parts, key=lambda p: p["end"])  # of several that end there, the first
+        for p in parts:
+            p.setdefault("type", "niLocus" if not p["coding"] else "siLocus" if len(p["genes"]) == 1 else "ciLocus")
+            if p is not first:
+                p |= {"liil": 0, "riil": row["riil"] if p is right else 0}
+        first |= {"exception": crowded, "liil": row["liil"]} | ({"riil": row["riil"]} if first is right else {})
     return parts
 
 
@@ -224,7 +233,7 @@ def _refiner(delta: int, by_cds: bool, least: int):
                 for k, p in enumerate(refine(row, delta, by_cds, least), 1):
                     out.append(
                         {"seqid": row["seqid"], "locus_start": row["locus_start"], "part": k, "start": p["start"], "end": p["end"], "n_genes": len(p["genes"]), "ilocus_type": p["type"],
-                         "effective_length": p["effective"], "exception": p.get("exception"), "liil": p.get("liil"), "riil": p.get("riil"), "genes": ",".join(str(g["gene_id"]) for g in p["genes"])}
+                         "effective_length": p.get("effective"), "exception": p.get("exception"), "liil": p.get("liil"), "riil": p.get("riil"), "genes": ",".join(str(g["gene_id"]) for g in p["genes"])}
                     )
             names = [x.strip().split(" ")[0] for x in _REFINED.split(",")]
             kinds = [pa.string() if x.strip().endswith("string") else pa.int32() if x.strip().endswith(" int") else pa.int64() for x in _REFINED.split(",")]

@@ -70,17 +70,18 @@ def _refined(spark, d):
     return loci.refined(V.genes(spark, d), V.exons(spark, d), V.regions(spark, d))
 
 
-@C.add("refine_intron_gene")
+@C.add("refine_intron_gene", L.refined_sql("SELECT seqid, locus_start, array_to_string(list_transform(gs, lambda x: x.id), ',') AS genes FROM part WHERE exception = 'intron-gene'"))
 def _(spark, d):
     return _refined(spark, d).where("exception = 'intron-gene'").select("seqid", "locus_start", "genes")
 
 
-@C.add("refine_resolve_bins")
+@C.add("refine_resolve_bins", L.refined_sql("SELECT seqid, locus_start, count(*) AS n_parts, CAST(sum(n_genes) AS BIGINT) AS n_genes FROM part GROUP BY ALL"))
 def _(spark, d):
     return _refined(spark, d).groupBy("seqid", "locus_start").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("n_genes").alias("n_genes"))
 
 
-@C.add("refine_extend")
+@C.add("refine_extend", L.refined_sql("""SELECT seqid, locus_start, CAST(part AS INTEGER) AS part, s AS "start", e AS "end", CAST(effective_length AS BIGINT) AS effective_length,
+  CAST(liil AS BIGINT) AS liil, CAST(riil AS BIGINT) AS riil, exception FROM part"""))
 def _(spark, d):
     return _refined(spark, d).select("seqid", "locus_start", "part", "start", "end", "effective_length", "liil", "riil", "exception")
 

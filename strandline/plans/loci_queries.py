@@ -191,13 +191,53 @@ def _(spark, d):
     return V.loci(spark, d).where("ilocus_type = 'siLocus' AND n_children = 1").select("name")
 
 
-@C.add("refine_loci")
+def refined_sql(last: str, delta: int = 500) -> str:
+    """Refined loci (part: seqid, locus_start, part, s, e, ...) from a fold over the genes of each locus, and a last query on them."""
+    d = delta
+    meets = """CASE WHEN (g.cs IS NULL) <> (o.cs IS NULL) THEN false
+  WHEN g.cs IS NOT NULL AND (g.s <> o.s OR g.e <> o.e) THEN least(g.ce, o.ce) >= greatest(g.cs, o.cs) ELSE least(g.e, o.e) >= greatest(g.s, o.s) END"""
+    return W("genes", "exons") + _extended(delta) + f""",
+cds AS (SELECT gene_id, min(s) FILTER (code = 'C') AS cs, max(e) FILTER (code = 'C') AS ce, list({{'s': s, 'e': e}}) AS ex FROM exons GROUP BY 1),
+members AS (SELECT m2.seqid, isle, row_number() OVER (PARTITION BY m2.seqid, isle ORDER BY m2.s, m2.e, m2.gene_id) AS rn, {{'id': m2.gene_id, 's': m2.s, 'e': m2.e, 'cs': cs, 'ce': ce, 'ex': coalesce(ex, [])}} AS g
+  FROM m2 JOIN core USING (seqid, isle) LEFT JOIN cds ON cds.gene_id = m2.gene_id WHERE n > 1),
+fold AS (SELECT seqid, isle, rn, 1 AS bin, [g] AS held FROM members WHERE rn = 1
+  UNION ALL SELECT t.seqid, t.isle, t.rn, CASE WHEN t.yes THEN t.bin ELSE t.bin + 1 END, CASE WHEN t.yes THEN list_append(t.held, t.g) ELSE [t.g] END
+  FROM (SELECT m.seqid, m.isle, m.rn, f.bin, f.held, m.g, len(list_filter(list_transform(f.held, lambda o: {meets.replace("g.", "m.g.")}), lambda x: x)) > 0 AS yes
+    FROM fold f JOIN members m ON m.seqid = f.seqid AND m.isle = f.isle AND m.rn = f.rn + 1) t),
+bins AS (SELECT seqid, isle, bin, arg_max(held, rn) AS gs FROM fold GROUP BY ALL),
+split AS (SELECT *, len(gs) = 2 AND gs[2].e <= gs[1].e AND len(gs[1].ex) >= 2 AND len(list_filter(gs[1].ex, lambda x: x.s <= gs[2].e AND x.e >= gs[2].s)) = 0 AS intron FROM bins),
+cut AS (SELECT seqid, isle, gs, NULL::VARCHAR AS ty, NULL::VARCHAR AS exc FROM split WHERE NOT intron
+  UNION ALL SELECT seqid, isle, [gs[1]], 'ciLocus', NULL FROM split WHERE intron UNION ALL SELECT seqid, isle, [gs[2]], NULL, 'intron-gene' FROM split WHERE intron),
+ranged AS (SELECT *, list_min(list_transform(gs, lambda x: x.s)) AS a, list_max(list_transform(gs, lambda x: x.e)) AS b, len(list_filter(gs, lambda x: x.cs IS NOT NULL)) > 0 AS coding FROM cut),
+placed AS (SELECT r.*, x.xs AS o1, x.xe AS o2, x.s AS locus_start, x.n AS n_all, x.lo, x.ro,
+  CAST(CASE WHEN lc IN ('A', 'B', 'C') THEN 0 WHEN lc = 'D' AND x.s - p - {2 * d} - 1 > 0 THEN x.s - p - {2 * d} - 1 END AS BIGINT) AS ol, CAST(CASE WHEN rc IN ('A', 'B', 'C') THEN 0 WHEN rc = 'D' AND nx - x.e - {2 * d} - 1 > 0 THEN nx - x.e - {2 * d} - 1 END AS BIGINT) AS orr,
+  row_number() OVER w AS part, count(*) OVER k AS n_parts, CASE WHEN x.xs + {d} > r.a THEN x.xs ELSE r.a - {d} END AS s0, CASE WHEN r.b + {d} > x.xe THEN x.xe ELSE r.b + {d} END AS e0,
+  count(DISTINCT r.coding) OVER k AS kinds FROM ranged r JOIN ext x USING (seqid, isle) WINDOW k AS (PARTITION BY r.seqid, isle), w AS (PARTITION BY r.seqid, isle ORDER BY r.a, r.b, r.gs[1].id)),
+ends AS (SELECT *, part = first_value(part) OVER (PARTITION BY seqid, isle ORDER BY e0 DESC, part DESC) AS closes FROM placed),
+closed AS (SELECT *, CASE WHEN part = 1 THEN o1 ELSE s0 END AS s, CASE WHEN closes THEN o2 ELSE e0 END AS e FROM ends),
+beside AS (SELECT *, min(s) FILTER (part = 2) OVER k AS s2, min(e) FILTER (part = 2) OVER k AS e2, min(s) FILTER (part = 1) OVER k AS s1, min(e) FILTER (part = 1) OVER k AS e1, max(exc) FILTER (part = 2) OVER k AS exc2,
+  part = first_value(part) OVER (PARTITION BY seqid, isle ORDER BY e DESC, part) AS rightmost FROM closed WINDOW k AS (PARTITION BY seqid, isle)),
+told AS (SELECT *, n_parts = 2 AND coalesce(exc2, '') <> 'intron-gene' AS apart, kinds = 2 AND n_parts = 2 AND s1 <= s2 AND e2 <= e1 AS holds, e1 - s2 + 1 AS ov, o2 - o1 + 1 - (lo + 1) // 2 - ro // 2 AS whole FROM beside),
+part AS (SELECT seqid, locus_start, part, s, e, gs, CAST(len(gs) AS INTEGER) AS n_genes,
+  CASE WHEN kinds = 2 AND n_parts = 2 THEN CASE WHEN coding THEN 'siLocus' ELSE 'niLocus' END WHEN ty IS NOT NULL THEN ty WHEN NOT coding THEN 'niLocus' WHEN len(gs) > 1 THEN 'ciLocus' ELSE 'siLocus' END AS ilocus_type,
+  CASE WHEN kinds = 1 OR n_parts > 2 THEN CASE WHEN part = 1 THEN whole END WHEN holds THEN CASE part WHEN 1 THEN whole ELSE 0 END
+    WHEN part = 1 THEN e - s + 1 - (lo + 1) // 2 - ov // 2 ELSE e - s + 1 - (ov + 1) // 2 - ro // 2 END AS effective_length,
+  CASE WHEN kinds = 1 AND coding AND len(gs) > 1 OR kinds = 2 AND n_parts > 2 AND part = 1 THEN 'complex-overlap-' || n_all
+    WHEN part = 1 AND apart THEN CASE WHEN holds THEN 'gene-contain-gene' ELSE 'gene-overlap-gene' END ELSE exc END AS exception,
+  CASE WHEN kinds = 1 THEN CASE WHEN apart AND part = 2 THEN 0 END WHEN n_parts = 2 THEN CASE WHEN apart THEN CASE part WHEN 1 THEN ol ELSE 0 END END WHEN part = 1 THEN ol ELSE 0 END AS liil,
+  CASE WHEN kinds = 1 THEN CASE WHEN apart AND part = 1 THEN 0 END WHEN n_parts = 2 THEN CASE WHEN apart THEN CASE WHEN holds THEN CASE part WHEN 1 THEN orr ELSE 0 END WHEN part = 1 THEN 0 ELSE orr END END
+    WHEN rightmost THEN orr WHEN part > 1 THEN 0 END AS riil FROM told)
+""" + last
+
+
+@C.add("refine_loci", refined_sql("""SELECT seqid, locus_start, CAST(part AS INTEGER) AS part, s AS "start", e AS "end", n_genes, ilocus_type, CAST(effective_length AS BIGINT) AS effective_length, exception,
+  CAST(liil AS BIGINT) AS liil, CAST(riil AS BIGINT) AS riil, array_to_string(list_transform(gs, lambda x: x.id), ',') AS genes FROM part"""))
 def _(spark, d):
     ship(spark)
     return loci.refined(V.genes(spark, d), V.exons(spark, d), V.regions(spark, d))
 
 
-@C.add("refine_bin")
+@C.add("refine_bin", refined_sql("SELECT seqid, locus_start, CAST(part AS INTEGER) AS part, CAST(unnest(list_transform(gs, lambda x: x.id)) AS VARCHAR) AS gene FROM part"))
 def _(spark, d):
     """Genes of each bin of each locus."""
     ship(spark)
@@ -205,7 +245,7 @@ def _(spark, d):
     return x.select("seqid", "locus_start", "part", F.explode(F.split("genes", ",")).alias("gene"))
 
 
-@C.add("refine_summary")
+@C.add("refine_summary", refined_sql("SELECT ilocus_type, exception, count(*) AS n, CAST(sum(effective_length) AS BIGINT) AS effective_length FROM part GROUP BY ALL"))
 def _(spark, d):
     ship(spark)
     x = loci.refined(V.genes(spark, d), V.exons(spark, d), V.regions(spark, d))

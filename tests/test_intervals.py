@@ -88,14 +88,50 @@ def test_every_base_is_in_one_locus(spark):
         assert abs(total - size) <= size * 0.02
 
 
-def test_refinement():
-    g = lambda i, s, e, cs, ce, ex: {"gene_id": i, "start": s, "end": e, "cs": cs, "ce": ce, "exons": [{"s": a, "e": b} for a, b in ex]}
-    row = {"start": 1, "end": 3000, "left_overlap": 10, "right_overlap": 5, "liil": 7, "riil": 9}
-    inside = loci.refine(row | {"genes": [g(1, 600, 2400, 600, 2400, [(600, 800), (2000, 2400)]), g(2, 1000, 1500, 1000, 1500, [(1000, 1500)])]})
-    assert [(p["type"], p.get("exception"), p["effective"]) for p in inside] == [("siLocus", None, 3000 - 5 - 2), ("siLocus", "intron-gene", 0)]
-    apart = loci.refine(row | {"genes": [g(1, 600, 1400, None, None, [(600, 1400)]), g(2, 1300, 2400, 1350, 2400, [(1300, 2400)])]})
-    assert [p["type"] for p in apart] == ["niLocus", "siLocus"] and sum(p["effective"] for p in apart) == 3000 - 5 - 2
-    one = loci.refine(row | {"genes": [g(1, 600, 1400, 600, 1400, []), g(2, 1300, 2400, 1350, 2400, []), g(3, 2390, 2500, 2395, 2500, [])]})
-    assert [(p["type"], p["exception"], len(p["genes"])) for p in one] == [("ciLocus", "complex-overlap-3", 3)]
-    for p in (inside, apart, one):
-        assert min(x["start"] for x in p) == 1 and max(x["end"] for x in p) == 3000
+def gene(i, s, e, cs=None, ce=None, ex=()):
+    return {"gene_id": i, "start": s, "end": e, "cs": cs, "ce": ce, "exons": [{"s": a, "e": b} for a, b in ex]}
+
+
+ROW = {"start": 1, "end": 3000, "left_overlap": 10, "right_overlap": 5, "liil": 7, "riil": 9}
+WHOLE = 3000 - 5 - 2
+
+
+def refined(*genes):
+    got = loci.refine(ROW | {"genes": list(genes)})
+    assert min(p["start"] for p in got) == 1 and max(p["end"] for p in got) == 3000
+    return [(p["type"], p.get("exception"), p.get("effective"), p.get("liil"), p.get("riil")) for p in got]
+
+
+def test_refinement_of_two():
+    inner = gene(2, 1000, 1500, 1000, 1500, [(1000, 1500)])
+    assert refined(gene(1, 600, 2400, 600, 2400, [(600, 800), (2000, 2400)]), inner) == [("ciLocus", None, WHOLE, None, None), ("siLocus", "intron-gene", None, None, None)]
+    # an exon is in the way: one bin of two genes
+    assert refined(gene(1, 600, 2400, 600, 2400, [(600, 1100), (2000, 2400)]), inner) == [("ciLocus", "complex-overlap-2", WHOLE, None, None)]
+    # coding ranges apart, both coding
+    assert refined(gene(1, 600, 1400, 600, 900), gene(2, 1300, 2400, 1500, 2400)) == [("siLocus", "gene-overlap-gene", WHOLE, None, 0), ("siLocus", None, None, 0, None)]
+    # one coding: both have a length, and the overlap is shared
+    got = loci.refine(ROW | {"genes": [gene(1, 600, 1400, ex=[(600, 1400)]), gene(2, 1300, 2400, 1350, 2400, [(1300, 2400)])]})
+    assert [(p["type"], p.get("exception"), p["liil"], p["riil"]) for p in got] == [("niLocus", "gene-overlap-gene", 7, 0), ("siLocus", None, 0, 9)]
+    assert sum(p["effective"] for p in got) == WHOLE and [(p["start"], p["end"]) for p in got] == [(1, 1900), (800, 3000)]
+    # one coding, within the other: what is said of the pair stands at the one that contains
+    assert refined(gene(1, 100, 2900, 100, 2900), gene(2, 1300, 1400)) == [("siLocus", "gene-contain-gene", WHOLE, 7, 9), ("niLocus", None, 0, 0, 0)]
+
+
+def test_refinement_of_many():
+    three = [gene(1, 600, 1400, 600, 1400), gene(2, 1300, 2400, 1350, 2400), gene(3, 2390, 2500, 2395, 2500)]
+    assert refined(*three) == [("ciLocus", "complex-overlap-3", WHOLE, None, None)]
+    # bins of two and one: all genes of the locus are counted
+    assert refined(*three[:2], gene(3, 2350, 2500, 2450, 2500)) == [("ciLocus", "complex-overlap-3", WHOLE, None, 0), ("siLocus", None, None, 0, None)]
+    # three loci of like status get no lengths beside
+    assert refined(gene(1, 600, 1400, 600, 900), gene(2, 1300, 2400, 1500, 1900), gene(3, 2300, 2500, 2450, 2500)) == [("siLocus", None, WHOLE, None, None), ("siLocus", None, None, None, None), ("siLocus", None, None, None, None)]
+    # mixed: the one that ends last has what lies to the right
+    assert refined(gene(1, 600, 1400, 600, 900), gene(2, 700, 2450), gene(3, 1500, 1900, 1500, 1900)) == [("siLocus", "complex-overlap-3", WHOLE, 7, None), ("niLocus", None, None, 0, 9), ("siLocus", None, None, 0, 0)]
+    # the first ends last
+    assert refined(gene(1, 600, 2450, 600, 900), gene(2, 700, 1400), gene(3, 1500, 1900, 1500, 1900))[0] == ("siLocus", "complex-overlap-3", WHOLE, 7, 9)
+
+
+def test_bins_are_a_fold():
+    """Only the last bin is open: a coding gene after a non-coding one begins a new bin though it meets the coding one before."""
+    genes = [gene(1, 600, 2000, 600, 2000), gene(2, 700, 900), gene(3, 800, 1900, 800, 1900)]
+    assert [[g["gene_id"] for g in b] for b in loci.bins_of(genes)] == [[1], [2], [3]]
+    assert [[g["gene_id"] for g in b] for b in loci.bins_of(genes, by_cds=False)] == [[1, 2, 3]]
