@@ -285,33 +285,55 @@ def _each(f, names: list[str], kinds: list[pa.DataType]):
     return run
 
 
-def selected_pairs(loci: DataFrame) -> DataFrame:
-    """loci: locus, start, end, refr and pred (arrays of parts with gene_id, start, end, code); one row a reported pair."""
+#: Transcripts of a locus up to which its cliques are enumerated, unless another number is given; their number grows exponentially.
+MAX_TRANSCRIPTS = 32
+
+
+def _few(f, most: int):
+    """The rows that ``f`` gives for a locus, or one row that says it was skipped if it has more than ``most`` transcripts."""
+    return lambda row: [{"locus": row["locus"], "length": row["end"] - row["start"] + 1, "kind": "skipped", "skipped": True}] if most and row["n"] > most else f(row)
+
+
+def selected_pairs(loci: DataFrame, most: int = MAX_TRANSCRIPTS) -> DataFrame:
+    """loci: locus, n (transcripts), start, end, refr and pred (arrays of parts with gene_id, start, end, code); one row a
+    reported pair. A locus of more than ``most`` transcripts gives one row of kind ``skipped``; 0 compares all loci."""
     names = [x.strip().split(" ")[0] for x in _PAIRS.split(",")]
     kinds = [pa.string() if x.strip().endswith("string") else pa.int32() if x.strip().endswith(" int") else pa.int64() for x in _PAIRS.split(",")]
-    return loci.mapInArrow(_each(pairs_of, names, kinds), _PAIRS)
+    return loci.mapInArrow(_each(_few(pairs_of, most), names, kinds), _PAIRS)
 
 
-_RANKED = {"locus": "string", "refr": "string", "pred": "string", "perfect": "boolean", "cds_match": "boolean", "exon_match": "boolean", "cds_cc": "double", "utr_cc": "double", "n_matches": "bigint", "length": "bigint", "rank": "int"}
+_RANKED = {"locus": "string", "refr": "string", "pred": "string", "perfect": "boolean", "cds_match": "boolean", "exon_match": "boolean", "cds_cc": "double", "utr_cc": "double", "n_matches": "bigint", "length": "bigint", "rank": "int", "skipped": "boolean"}
 
 
-def ranked_pairs(loci: DataFrame) -> DataFrame:
+def ranked_pairs(loci: DataFrame, most: int = MAX_TRANSCRIPTS) -> DataFrame:
     """loci as for selected_pairs; every pair of cliques of a locus with what it is ranked by, and its rank in the locus."""
 
     def rows(row: dict) -> list[dict]:
         length = row["end"] - row["start"] + 1
         name = lambda c: ",".join(map(str, c))
-        return [x | {"locus": row["locus"], "refr": name(x["refr"]), "pred": name(x["pred"]), "length": length, "rank": k} for k, x in enumerate(_ordered(_sides(row), length), 1)]
+        return [x | {"locus": row["locus"], "refr": name(x["refr"]), "pred": name(x["pred"]), "length": length, "rank": k, "skipped": False} for k, x in enumerate(_ordered(_sides(row), length), 1)]
 
     kinds = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}
-    return loci.mapInArrow(_each(rows, list(_RANKED), [kinds[t] for t in _RANKED.values()]), ", ".join(f"{n} {t}" for n, t in _RANKED.items()))
+    return loci.mapInArrow(_each(_few(rows, most), list(_RANKED), [kinds[t] for t in _RANKED.values()]), ", ".join(f"{n} {t}" for n, t in _RANKED.items()))
 
 
-def enumerated(loci: DataFrame) -> DataFrame:
-    """locus, transcripts (array of gene_id, start, end): one row a clique: locus, size, ids."""
+_CLIQUES = {"locus": pa.string(), "size": pa.int32(), "ids": pa.string(), "num_exons": pa.int64(), "num_utrs": pa.int64(), "cds_length": pa.int64(), "skipped": pa.bool_()}
 
-    def rows(row: dict) -> list[dict]:
-        got = cliques([(t["gene_id"], t["start"], t["end"]) for t in row["transcripts"]])
-        return [{"locus": row["locus"], "size": len(c), "ids": ",".join(map(str, sorted(c)))} for c in got]
 
-    return loci.mapInArrow(_each(rows, ["locus", "size", "ids"], [pa.string(), pa.int32(), pa.string()]), "locus string, size int, ids string")
+def enumerated(loci: DataFrame, most: int = MAX_TRANSCRIPTS) -> DataFrame:
+    """locus, transcripts (array of gene_id, start, end, n_exons, n_utrs, cds_length): one row a clique, with its size, its ids,
+    and the exons, UTR segments and coding bases of all its transcripts. Of a locus with more than ``most`` transcripts (0: no
+    limit) only the single transcripts come out, marked as skipped."""
+
+    def rows(row: dict) -> list[dict]:
+        by = {t["gene_id"]: t for t in row["transcripts"]}
+        skipped = bool(most) and len(by) > most
+        found = [[i] for i in by] if skipped else cliques([(t["gene_id"], t["start"], t["end"]) for t in by.values()])
+        total = lambda c, k: sum(by[i][k] or 0 for i in c)
+        return [
+            {"locus": row["locus"], "size": len(c), "ids": ",".join(map(str, sorted(c))), "num_exons": total(c, "n_exons"), "num_utrs": total(c, "n_utrs"), "cds_length": total(c, "cds_length"), "skipped": skipped}
+            for c in found
+        ]
+
+    kinds = "locus string, size int, ids string, num_exons bigint, num_utrs bigint, cds_length bigint, skipped boolean"
+    return loci.mapInArrow(_each(rows, list(_CLIQUES), list(_CLIQUES.values())), kinds)

@@ -77,6 +77,7 @@ SOURCES = {
     "pdom": (["Name"], ["ID"]),
     "tair": (["Name"], ["Name"]),
     "beebase": (["Name"], ["Name"]),
+    "hymbase": (["Name"], ["Name"]),
     "am10": ([], ["Name"]),
     "local": (["accession", "Name"], ["protein_id", "accession", "Name"]),
 }
@@ -101,12 +102,14 @@ def accessions(f: DataFrame, source: str) -> DataFrame:
     own = F.when(is_a("gene"), first(gene)).when(F.col("type").isin(*TRANSCRIPTS), F.coalesce(first(transcript), *([F.concat(_value("GeneID"), F.lit(":"), "type")] if source == "refseq" else [])))
     own = F.when(F.col("type").isin(*SEGMENTS, "gene_segment"), _value("GeneID")).otherwise(own)
     x = f.withColumn("_own", own).withColumn("_up", F.get(values_of("parent"), F.lit(0)))
+    if source == "genbank":  # transcripts are named after their gene and their type, and hand that on
+        genes = x.where(is_a("gene") & F.col("id").isNotNull()).groupBy("file_id", F.col("id").alias("_up")).agg(F.min("_own").alias("_gene"))
+        named = F.when(F.col("type").isin(*TRANSCRIPTS), F.concat("_gene", F.lit("."), "type"))
+        x = x.join(genes, ["file_id", "_up"], "left").withColumn("_own", F.coalesce("_own", named)).drop("_gene")
     by = x.where("id IS NOT NULL AND _own IS NOT NULL").groupBy("file_id", F.col("id").alias("_up")).agg(F.min("_own").alias("_theirs"))
     x = x.join(by, ["file_id", "_up"], "left")
     part = F.col("type").isin("exon", "intron", "CDS")
     theirs = F.when(part, F.col("_theirs"))
-    if source == "genbank":
-        theirs = F.when(F.col("type").isin(*TRANSCRIPTS), F.concat("_theirs", F.lit("."), "type")).otherwise(theirs)
     return x.select("file_id", "line_no", "type", F.coalesce("accession", "_own", theirs).alias("found"))
 
 

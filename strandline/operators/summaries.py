@@ -70,6 +70,12 @@ def thresholds(merged: DataFrame, iqnt: float = 0.95, gqnt: float = 0.05) -> Dat
     return merged.groupBy("species").agg(q(ii, iqnt).cast("bigint").alias("ithresh"), q(gi, gqnt).cast("bigint").alias("gthresh"))
 
 
+def long_sequences(regions: DataFrame, least: int = 1_000_000) -> DataFrame:
+    """species, seqid, length of the sequences (label, seqid, end) of at least so many bases."""
+    r = regions.where("seqid IS NOT NULL AND label IS NOT NULL").where(F.col("end") >= least)
+    return r.groupBy(F.col("label").alias("species"), "seqid").agg(F.max("end").alias("length"))
+
+
 def compactness(loci: DataFrame, merged: DataFrame, long: DataFrame, iqnt: float = 0.95, gqnt: float = 0.05) -> DataFrame:
     """species, seqid, sigma, phi of the long sequences: the share of space in merged loci, and of gene loci that are merged."""
     keys = ["species", "seqid"]

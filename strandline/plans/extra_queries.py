@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from strandline.functions import attributes as A
@@ -20,7 +17,7 @@ from strandline.plans.catalog import Catalog
 from strandline.plans.feature_queries import _TREE, _attr
 from strandline.plans.problems import _P3, _VALUES
 from strandline.plans.summary_queries import MOTIF, with_sequence
-from strandline.session import shared_dir, ship, table
+from strandline.session import new_path, ship, table
 from strandline.sources import readers
 from strandline.sources.registry import Registry
 
@@ -38,14 +35,18 @@ def _(spark, d):
 @C.add("scan_gzip", "SELECT line, count(*) AS n FROM (SELECT rtrim(line, chr(13)) AS line FROM raw_gff3 WHERE line IS NOT NULL AND line <> '') GROUP BY 1")
 def _(spark, d):
     """Lines written compressed, and read again."""
-    path = os.path.join(shared_dir(spark), f"strandline-gz-{uuid.uuid4().hex}")
+    path = new_path(spark, "gz")
     table(spark, d, "raw_gff3").where("line IS NOT NULL AND line <> ''").select(F.rtrim("line", F.lit("\r")).alias("value")).write.option("compression", "gzip").text(path)
     return readers.lines_of(spark, path).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @C.add("scan_filter_file", """SELECT * FROM (VALUES ('LocusLength', '>=', 1000, NULL), ('GeneCount', '<', 4, NULL), ('ExonCount', '>', 3, 'R'), ('TranscriptCount', '<>', 0, NULL)) t(metric, op, value, source)""")
 def _(spark, d):
-    rules = readers.filter_rules("# rules\n\nLocusLength >= 1000\nGeneCount < 4\nExonCount > 3 R\nTranscriptCount <> 0\n")
+    """A filter file, scanned; it has a line a rule, whatever the data."""
+    path = new_path(spark, "filter")
+    lines = ["# rules", "", "LocusLength >= 1000", "GeneCount < 4", "ExonCount > 3 R", "TranscriptCount <> 0"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    rules = readers.filter_rules("\n".join(r.line for r in readers.lines_of(spark, path).orderBy("line_no").collect()))
     return spark.createDataFrame(rules, "metric string, op string, value int, source string")
 
 

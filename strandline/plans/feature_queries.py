@@ -161,6 +161,7 @@ _RULES = {
     "crg": ("id", "id"),
     "tair": (_attr("Name"), _attr("Name")),
     "beebase": (_attr("Name"), _attr("Name")),
+    "hymbase": (_attr("Name"), _attr("Name")),
     "pdom": (_attr("Name"), "id"),
     "am10": ("NULL", _attr("Name")),
     "local": (f"coalesce(accession, {_attr('Name')})", f"coalesce({_attr('protein_id')}, accession, {_attr('Name')})"),
@@ -175,6 +176,16 @@ SELECT x.file_id, x.line_no, x.type, coalesce(x.accession, x.own, CASE WHEN x.ty
         return O.accessions(V.features(spark, d), source)
 
 
+@C.add("format_accession_genbank", W("feats") + f""",
+x AS (SELECT *, {_VALUES.format(c="parent")}[1] AS up FROM feats),
+g AS (SELECT file_id, id, min({_attr('Name')}) AS acc FROM feats WHERE type = 'gene' AND id IS NOT NULL GROUP BY ALL),
+y AS (SELECT x.*, CASE WHEN type LIKE '%gene_segment' THEN {_GENEID} WHEN type = 'gene' THEN {_attr('Name')} WHEN type IN {_IN(TRANSCRIPTS)} THEN g.acc || '.' || type END AS own FROM x LEFT JOIN g ON g.file_id = x.file_id AND g.id = x.up),
+z AS (SELECT file_id, id, min(own) AS theirs FROM y WHERE id IS NOT NULL AND own IS NOT NULL GROUP BY ALL)
+SELECT y.file_id, y.line_no, y.type, coalesce(y.accession, y.own, CASE WHEN y.type IN ('exon', 'intron', 'CDS') THEN z.theirs END) AS found FROM y LEFT JOIN z ON z.file_id = y.file_id AND z.id = y.up""")
+def _(spark, d):
+    return O.accessions(V.features(spark, d), "genbank")
+
+
 @C.add("format_prefix", W("feats") + " SELECT DISTINCT file_id, split_part(file_id, '.', 1) || '_' || seqid AS seqid FROM feats UNION SELECT DISTINCT file_id, label || '_' || seqid FROM regions WHERE seqid IS NOT NULL AND label IS NOT NULL")
 def _(spark, d):
     f = V.features(spark, d).select("file_id", F.concat(F.substring_index("file_id", ".", 1), F.lit("_"), "seqid").alias("seqid"))

@@ -286,13 +286,6 @@ def _(spark, d):
     return V.genes(spark, d).select("gene_id", F.round(K.tolerance(F.col("end") - F.col("start") + 1), 9).alias("tolerance"))
 
 
-@C.add("pair_rank", W("exons", "pred") + _CMP + """ SELECT gene_id, row_number() OVER (PARTITION BY gene_id // 100 ORDER BY class = 'perfect' DESC, class = 'CDS match' DESC, class = 'exon match' DESC, round(matches / length::DOUBLE, 9) DESC, gene_id) AS rank FROM cls""")
-def _(spark, d):
-    x = _classes(spark, d)
-    w = Window.partitionBy(F.floor(F.col("gene_id") / 100)).orderBy(*[(F.col("class") == k).desc() for k in ("perfect", "CDS match", "exon match")], F.round(F.col("matches") / F.col("length"), 9).desc(), "gene_id")
-    return x.select("gene_id", F.row_number().over(w).alias("rank"))
-
-
 @C.add("comparison_aggregate", W("exons", "pred") + _CMP + f""",
 agg AS (SELECT g.seqid, CAST(sum(cds_tp) AS BIGINT) AS cds_tp, CAST(sum(cds_fn) AS BIGINT) AS cds_fn, CAST(sum(cds_fp) AS BIGINT) AS cds_fp, CAST(sum(cds_tn) AS BIGINT) AS cds_tn FROM nuc0 n JOIN genes g ON g.gene_id = n.gene_id GROUP BY ROLLUP (g.seqid))
 SELECT seqid, cds_tp, cds_fn, cds_fp, cds_tn, {_SCALED} FROM agg""")
@@ -373,16 +366,12 @@ def _(spark, d):
     return _locus_counts(spark, d).select("seqid", "start", (F.col("r_mrnas") + F.col("p_mrnas")).alias("n")).where("n <= 8")
 
 
-#: Transcripts of a locus up to which its cliques are enumerated; their number grows exponentially.
-MAX_TRANSCRIPTS = 32
-
-
 def _locus_parts(spark, d):
     part = F.struct("gene_id", "start", "end", "code")
     side = lambda df, t: df.groupBy("gene_id").agg(F.collect_list(part).alias(t))
     g = loci.with_locus(V.genes(spark, d)).join(side(V.exons(spark, d), "refr"), "gene_id", "left").join(side(V.predicted(spark, d), "pred"), "gene_id", "left")
     per = g.groupBy("seqid", "locus_start").agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), F.flatten(F.collect_list("refr")).alias("refr"), F.flatten(F.collect_list("pred")).alias("pred"))
-    return per.where(F.col("n") <= MAX_TRANSCRIPTS).select(F.concat("seqid", F.lit(":"), "locus_start").alias("locus"), F.col("locus_start").alias("start"), "end", "refr", "pred")
+    return per.select(F.concat("seqid", F.lit(":"), "locus_start").alias("locus"), "n", F.col("locus_start").alias("start"), "end", "refr", "pred")
 
 
 @C.add("locus_compare")
@@ -391,9 +380,9 @@ def locus_compare(spark, d):
     return K.selected_pairs(_locus_parts(spark, d).where("size(refr) > 0 AND size(pred) > 0"))
 
 
-@C.add("pair_rank_cliques")
+@C.add("pair_rank")
 def _(spark, d):
-    """The pairs of cliques of each locus by the survey's order; pair_rank ranks genes against themselves, in blocks of ids."""
+    """The pairs of cliques of each locus, with their ranks in it."""
     ship(spark)
     return K.ranked_pairs(_locus_parts(spark, d).where("size(refr) > 0 AND size(pred) > 0"))
 
@@ -414,21 +403,35 @@ def _(spark, d):
     return r.join(p, ["seqid", "locus_start"]).select("refr", "pred")
 
 
+_CLIQUES = W("exons") + _MERGED + """,
+tr AS (SELECT m2.seqid, m2.isle, core.s AS locus_start, m2.gene_id, m2.s, m2.e, coalesce(x.n, 0) AS n_exons, coalesce(x.u, 0) AS n_utrs, coalesce(x.c, 0) AS cds_length FROM m2 JOIN core USING (seqid, isle)
+  LEFT JOIN (SELECT gene_id, count(*) AS n, count(*) FILTER (code <> 'C') AS u, sum(e - s + 1) FILTER (code = 'C') AS c FROM exons GROUP BY 1) x ON x.gene_id = m2.gene_id),
+nx AS (SELECT a.seqid, a.isle, a.e AS at, min(b.e) AS lim FROM (SELECT seqid, isle, e FROM tr UNION SELECT seqid, isle, -1 FROM tr) a JOIN tr b ON b.seqid = a.seqid AND b.isle = a.isle AND b.s > a.e GROUP BY ALL),
+grow AS (SELECT DISTINCT seqid, isle, CAST(-1 AS BIGINT) AS at, CAST([] AS BIGINT[]) AS ids FROM tr
+  UNION ALL SELECT g.seqid, g.isle, t.e, list_append(g.ids, t.gene_id) FROM grow g JOIN nx ON nx.seqid = g.seqid AND nx.isle = g.isle AND nx.at = g.at JOIN tr t ON t.seqid = g.seqid AND t.isle = g.isle AND t.s > g.at AND t.s <= nx.lim),
+sets AS (SELECT seqid, isle, [gene_id] AS ids FROM tr UNION ALL SELECT g.seqid, g.isle, ids FROM grow g ANTI JOIN nx ON nx.seqid = g.seqid AND nx.isle = g.isle AND nx.at = g.at WHERE len(ids) > 1),
+cl AS (SELECT seqid, isle, list_sort(ids) AS ids FROM sets),
+told AS (SELECT c.seqid || ':' || any_value(t.locus_start) AS locus, CAST(len(c.ids) AS INTEGER) AS size, array_to_string(c.ids, ',') AS ids, CAST(sum(n_exons) AS BIGINT) AS num_exons, CAST(sum(n_utrs) AS BIGINT) AS num_utrs, CAST(sum(cds_length) AS BIGINT) AS cds_length
+  FROM cl c JOIN tr t ON t.seqid = c.seqid AND t.isle = c.isle AND list_contains(c.ids, t.gene_id) GROUP BY c.seqid, c.isle, c.ids)"""
+
+
 def _cliques(spark, d):
     ship(spark)
-    g = loci.with_locus(V.genes(spark, d)).groupBy("seqid", "locus_start").agg(F.collect_list(F.struct("gene_id", "start", "end")).alias("transcripts"))
-    return K.enumerated(g.where(F.size("transcripts") <= MAX_TRANSCRIPTS).select(F.concat("seqid", F.lit(":"), "locus_start").alias("locus"), "transcripts"))
+    n = F.col("end") - F.col("start") + 1
+    x = V.exons(spark, d).groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_exons"), F.count_if(F.col("code") != "C").alias("n_utrs"), F.sum(F.when(F.col("code") == "C", n)).alias("cds_length"))
+    g = loci.with_locus(V.genes(spark, d)).join(x, "gene_id", "left")
+    g = g.groupBy("seqid", "locus_start").agg(F.collect_list(F.struct("gene_id", "start", "end", "n_exons", "n_utrs", "cds_length")).alias("transcripts"))
+    return K.enumerated(g.select(F.concat("seqid", F.lit(":"), "locus_start").alias("locus"), "transcripts"))
 
 
-@C.add("clique_enumerate")
+@C.add("clique_enumerate", _CLIQUES + " SELECT locus, size, ids FROM told")
 def _(spark, d):
-    return _cliques(spark, d)
+    return _cliques(spark, d).select("locus", "size", "ids")
 
 
-@C.add("clique_accessors")
+@C.add("clique_accessors", _CLIQUES + " SELECT locus, size, ids, num_exons, num_utrs, cds_length FROM told")
 def _(spark, d):
-    x = _cliques(spark, d)
-    return x.select("locus", "size", "ids", F.size(F.split("ids", ",")).alias("n_ids"), F.get(F.split("ids", ","), F.lit(0)).alias("first_id"))
+    return _cliques(spark, d).select("locus", "size", "ids", "num_exons", "num_utrs", "cds_length")
 
 
 # support

@@ -11,7 +11,8 @@ from strandline.plans import model_queries as M
 from strandline.plans import views as V
 from strandline.plans.catalog import Catalog
 from strandline.plans.feature_queries import _TRIM
-from strandline.session import table
+from strandline.plans.problems import _VALUES
+from strandline.session import new_path, table
 from strandline.sources import adapters, readers, reports
 from strandline.streaming import sessions as T
 
@@ -92,14 +93,20 @@ def _(spark, d):
 
 @C.add("scan_tsv", W("loci") + " SELECT locus_id, seqid, s AS \"start\", e AS \"end\", ilocus_type FROM loci WHERE ilocus_type IS NOT NULL")
 def _(spark, d):
-    """Loci as tab-separated text, parsed again under a schema."""
-    x = V.loci(spark, d).where("ilocus_type IS NOT NULL").select(F.to_csv(F.struct("locus_id", "seqid", "start", "end", "ilocus_type"), {"sep": "\t"}).alias("t"))
-    return x.select(F.from_csv("t", F.lit("locus_id bigint, seqid string, start bigint, end bigint, ilocus_type string"), {"sep": "\t"}).alias("r")).select("r.*")
+    """Loci written as a tab-separated file, and scanned again under a schema."""
+    path = new_path(spark, "tsv")
+    readers.write_tsv(V.loci(spark, d).where("ilocus_type IS NOT NULL").select("locus_id", "seqid", "start", "end", "ilocus_type"), path)
+    return readers.read_tsv(spark, path, "locus_id bigint, seqid string, start bigint, end bigint, ilocus_type string")
 
 
 @C.add("sink_tsv", W("loci") + """ SELECT locus_id, concat_ws(chr(9), seqid, s, e, coalesce(ilocus_type, 'NA'), len) AS line FROM loci""")
 def _(spark, d):
-    return V.loci(spark, d).select("locus_id", F.concat_ws("\t", "seqid", "start", "end", F.coalesce("ilocus_type", F.lit("NA")), "length").alias("line"))
+    """Loci written as a tab-separated file; its lines, read as they stand."""
+    path = new_path(spark, "tsv")
+    readers.write_tsv(V.loci(spark, d).select("locus_id", "seqid", "start", "end", F.coalesce("ilocus_type", F.lit("NA")).alias("ilocus_type"), "length"), path)
+    text = spark.read.text(path).where("NOT startswith(value, 'locus_id\t')")
+    tab = F.instr("value", "\t")
+    return text.select(F.substring("value", F.lit(1), tab - 1).cast("bigint").alias("locus_id"), F.substring("value", tab + 1, F.length("value")).alias("line"))
 
 
 @C.add("sink_gff3")
@@ -183,17 +190,51 @@ def _attr_sql(key: str) -> str:
 
 
 _PROT = {
-    "refseq": f"CASE WHEN NOT contains(attributes, 'exception=rearrangement required for product') THEN {_attr_sql('protein_id')} END",
-    "hymbase": f"replace({_attr_sql('Name')}, '-RA', '-PA')",
-    "local": f"coalesce({_attr_sql('protein_id')}, {_attr_sql('Name')})",
-    "tair": _attr_sql("Name"),
+    "refseq": ("CDS", _attr_sql("protein_id")),
+    "genbank": ("CDS", _attr_sql("protein_id")),
+    "crg": ("CDS", r"nullif(regexp_extract(attributes, '(?:^|;)\s*Target=(\S+)', 1), '')"),
+    "hymbase": ("mRNA", f"replace({_attr_sql('Name')}, '-RA', '-PA')"),
+    "beebase": ("mRNA", f"replace({_attr_sql('Name')}, '-RA', '-PA')"),
+    "local": ("mRNA", f"coalesce({_attr_sql('protein_id')}, {_attr_sql('Name')})"),
+    "tair": ("mRNA", _attr_sql("Name")),
+    "am10": ("mRNA", _attr_sql("Name")),
+    "pdom": ("mRNA", _attr_sql("Name")),
 }
-for _s, _sql in _PROT.items():
+#: What a source's features would look like, made from the test data: crg names a protein by Target.
+_AS_SQL = {"crg": "replace(attributes, 'protein_id=', 'Target=')", "hymbase": "replace(attributes, '.1;', '-RA;')"}
 
-    @C.add(f"protein_ids_{_s}", W("feats") + f" SELECT file_id, {_sql} AS protein, min(line_no) AS first_line FROM feats WHERE type = 'mRNA' AND {_sql} IS NOT NULL GROUP BY ALL")
+
+def _feats_of(spark, d, source):
+    f = V.features(spark, d)
+    if source == "crg":
+        return f.withColumn("attributes", F.replace("attributes", F.lit("protein_id="), F.lit("Target=")))
+    if source == "hymbase":
+        return f.withColumn("attributes", F.replace("attributes", F.lit(".1;"), F.lit("-RA;")))
+    return f
+
+
+for _s, (_t, _sql) in _PROT.items():
+    _of = W("feats") + f", fs AS (SELECT * REPLACE ({_AS_SQL.get(_s, 'attributes')} AS attributes) FROM feats)"
+
+    @C.add(f"protein_ids_{_s}", _of + f" SELECT file_id, {_sql} AS protein, min(line_no) AS first_line FROM fs WHERE type = '{_t}' AND {_sql} IS NOT NULL GROUP BY ALL")
+    def _(spark, d, source=_s):
+        return adapters.protein_ids(_feats_of(spark, d, source), source)
+
+    _up = f"{_VALUES.format(c='parent')}[1]"
+    _skip = " AND NOT contains(attributes, 'exception=rearrangement required for product')" if _s in ("refseq", "genbank") else ""
+    _step = "JOIN m ON m.file_id = p.file_id AND m.id = p.up" if _t == "CDS" else ""
+
+    @C.add(f"protein_mapping_{_s}", _of + f""",
+p AS (SELECT file_id, {_sql} AS protein, arg_min({_up}, (line_no, id)) FILTER (true) AS up FROM fs WHERE type = '{_t}' AND {_sql} IS NOT NULL{_skip} GROUP BY ALL),
+m AS (SELECT file_id, id, arg_min({_up}, (line_no, id)) AS gene FROM fs WHERE type = 'mRNA' AND id IS NOT NULL GROUP BY ALL),
+g AS (SELECT file_id, id AS gene, min((seqid, s, e)) AS at FROM fs WHERE type = 'gene' AND id IS NOT NULL GROUP BY ALL),
+gl AS (SELECT DISTINCT file_id, seqid, "start" AS s, "end" AS e, name FROM locus WHERE name IS NOT NULL AND seqid IS NOT NULL AND "start" <= "end" AND ilocus_type IN ('siLocus', 'ciLocus', 'niLocus')),
+gg AS (SELECT g.file_id, g.gene, arg_min(l.name, (l.e - l.s, l.s, l.name)) AS locus FROM g JOIN gl l ON l.file_id = g.file_id AND l.seqid = g.at[1] AND l.s <= g.at[2] AND l.e >= g.at[3] GROUP BY ALL)
+SELECT p.file_id, p.protein, gg.locus FROM p {_step} JOIN gg ON gg.file_id = p.file_id AND gg.gene = {'m.gene' if _t == 'CDS' else 'p.up'}""")
     def _(spark, d, source=_s):
-        x = V.features(spark, d).where("type = 'mRNA'").select("file_id", "line_no", adapters.protein_of(source).alias("protein"))
-        return x.where("protein IS NOT NULL").groupBy("file_id", "protein").agg(F.min("line_no").alias("first_line"))
+        f = _feats_of(spark, d, source)
+        gene_loci = V.loci(spark, d).where("name IS NOT NULL AND ilocus_type IN ('siLocus', 'ciLocus', 'niLocus')").select("file_id", "seqid", "start", "end", "name").distinct()
+        return adapters.protein_map(f, adapters.contained_loci(f, gene_loci), source)
 
 
 # reports

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -58,23 +60,48 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or (in tests) one of our own."""
+    """The folder that all executors share: the session's spark.checkpoint.dir, or, in a local session only, one of our own that
+    goes when the process ends. A cluster without the setting is an error: no machine's own folder would do."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) if hasattr(spark, "sparkContext") else None
     if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="strandline-shared-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="strandline-shared-")
+        atexit.register(shutil.rmtree, own, True)
+        d = "file://" + own
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has yet; :func:`clean` removes what was written there."""
+    path = os.path.join(shared_dir(spark), f"strandline-{label}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Removes what this process has written in the shared folder, once the results that read it are done with; how many."""
+    jvm, n = spark.sparkContext._jvm, 0
+    for path in _WRITTEN:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+    _WRITTEN.clear()
+    return n
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back; survives the loss of executors."""
     spark = df.sparkSession
     guard(spark)
-    path = os.path.join(shared_dir(spark), f"strandline-{label}-{uuid.uuid4().hex}")
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

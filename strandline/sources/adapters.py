@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators import intervals
+from strandline.operators.packed import values_of
+
 SOURCES = ("refseq", "genbank", "hymbase", "beebase", "crg", "tair", "am10", "pdom", "local")
 
 
@@ -78,7 +81,7 @@ def protein_of(source: str, attributes: str = "attributes") -> Column:
     pick = lambda p: F.nullif(F.regexp_extract(attributes, p, 1), F.lit(""))
     name, protein = pick(r"(?:^|;)\s*Name=([^;\n]+)"), pick(r"(?:^|;)\s*protein_id=([^;\n]+)")
     if source in ("refseq", "genbank"):
-        return F.when(~F.contains(F.col(attributes), F.lit("exception=rearrangement required for product")), protein)
+        return protein
     if source == "crg":
         return pick(r"(?:^|;)\s*Target=(\S+)")
     if source in ("hymbase", "beebase"):
@@ -86,3 +89,46 @@ def protein_of(source: str, attributes: str = "attributes") -> Column:
     if source == "local":
         return F.coalesce(protein, name)
     return name
+
+
+#: The type of the features that name proteins, for each source.
+CARRIERS = {s: "CDS" if s in ("refseq", "genbank", "crg") else "mRNA" for s in SOURCES}
+
+
+def protein_ids(features: DataFrame, source: str) -> DataFrame:
+    """file_id, protein, first_line: the proteins that the coding features (or, for some sources, the transcripts) of a file name."""
+    x = features.where(F.col("type") == CARRIERS[source]).select("file_id", "line_no", protein_of(source).alias("protein"))
+    return x.where("protein IS NOT NULL").groupBy("file_id", "protein").agg(F.min("line_no").alias("first_line"))
+
+
+def protein_map(features: DataFrame, gene_loci: DataFrame, source: str) -> DataFrame:
+    """file_id, protein, locus: from the first feature that names a protein to its transcript, its gene, and the gene's locus.
+
+    ``gene_loci`` has file_id, gene and locus, however genes were assigned to loci (:func:`linked_loci` follows Parent). Coding
+    features of rearranged genes are left out. Proteins whose feature leads to no gene with a locus give no row.
+    """
+    x = features.where(F.col("type") == CARRIERS[source]).withColumn("protein", protein_of(source)).where("protein IS NOT NULL")
+    if source in ("refseq", "genbank"):
+        x = x.where(~F.contains("attributes", F.lit("exception=rearrangement required for product")))
+    up = F.get(values_of("parent"), F.lit(0))
+    first = x.groupBy("file_id", "protein").agg(F.min_by(up, F.struct("line_no", "id")).alias("up"))
+    if CARRIERS[source] == "CDS":
+        mrnas = features.where("type = 'mRNA' AND id IS NOT NULL").groupBy("file_id", F.col("id").alias("up")).agg(F.min_by(up, F.struct("line_no", "id")).alias("gene"))
+        first = first.join(mrnas, ["file_id", "up"])
+    else:
+        first = first.withColumnRenamed("up", "gene")
+    return first.join(gene_loci, ["file_id", "gene"]).select("file_id", "protein", "locus")
+
+
+def linked_loci(features: DataFrame, name: Column) -> DataFrame:
+    """file_id, gene, locus: the name of the locus feature that each gene has as its first parent."""
+    loci = features.where("type = 'locus' AND id IS NOT NULL").groupBy("file_id", F.col("id").alias("up")).agg(F.min(name).alias("locus"))
+    genes = features.where("type = 'gene' AND id IS NOT NULL").select("file_id", F.col("id").alias("gene"), F.get(values_of("parent"), F.lit(0)).alias("up")).distinct()
+    return genes.join(loci, ["file_id", "up"]).select("file_id", "gene", "locus")
+
+
+def contained_loci(features: DataFrame, loci: DataFrame) -> DataFrame:
+    """file_id, gene, locus: the shortest gene locus (file_id, seqid, start, end, name) that holds the whole gene."""
+    genes = features.where("type = 'gene' AND id IS NOT NULL").groupBy("file_id", F.col("id").alias("gene")).agg(F.min(F.struct("seqid", "start", "end")).alias("p")).select("file_id", "gene", "p.*")
+    x = intervals.overlap_join(genes, loci.select("file_id", "seqid", "start", "end", "name"), ["file_id", "seqid"]).where("b_start <= start AND b_end >= end")
+    return x.groupBy("file_id", "gene").agg(F.min_by("b_name", F.struct(F.col("b_end") - F.col("b_start"), F.col("b_start"), F.col("b_name"))).alias("locus"))

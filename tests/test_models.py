@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from strandline.functions import attributes as A
 from strandline.functions import sequence as Q
 from strandline.operators import clusters, compare, structure, summaries, support
+from strandline.operators import features as O
+from strandline.operators import loci as loci_ops
 from strandline.sources import adapters, readers, reports
 
 
@@ -129,20 +131,98 @@ def test_pairs_by_structure_before_agreement():
 
 
 def test_ranked_pairs(spark):
-    from strandline.plans import registry
-
-    assert "pair_rank_cliques" in registry.queries()
     refr = [(1, 100, 199, "F"), (1, 200, 299, "C"), (1, 400, 500, "C")]
     pred = [
         (2, 100, 199, "F"), (2, 200, 299, "C"), (2, 400, 500, "C"), (3, 100, 299, "C"), (3, 400, 500, "C"), (4, 200, 299, "C"), (4, 400, 500, "C"),
         (5, 100, 199, "C"), (5, 200, 299, "F"), (5, 400, 500, "C"), (6, 100, 199, "F"), (6, 200, 280, "C"), (6, 400, 490, "C"), (7, 202, 299, "C"), (7, 400, 500, "C"), (7, 520, 700, "T"),
     ]
     part = "array<struct<gene_id:int,start:bigint,end:bigint,code:string>>"
-    loci = spark.createDataFrame([(n, 1, 1000, refr, pred) for n in ("l", "m")], f"locus string, start bigint, end bigint, refr {part}, pred {part}")
+    loci = spark.createDataFrame([(n, 7, 1, 1000, refr, pred) for n in ("l", "m")], f"locus string, n int, start bigint, end bigint, refr {part}, pred {part}")
     got = [(r.locus, r["rank"], r.pred, r.perfect, r.cds_match, r.exon_match) for r in compare.ranked_pairs(loci).orderBy("locus", "rank").collect()]
     # perfect, the same coding parts, the same exons (3 by its correlation before 5), then by correlation; ranks begin anew in each locus
     want = [("2", True, True, True), ("4", False, True, False), ("3", False, False, True), ("5", False, False, True), ("7", False, False, False), ("6", False, False, False)]
     assert got == [(n, k, *x) for n in ("l", "m") for k, x in enumerate(want, 1)]
+    # loci above the limit aren't compared, but say so; 0 is no limit
+    for most, skipped in ((6, True), (7, False), (0, False)):
+        assert {r.locus for r in compare.ranked_pairs(loci, most).where("skipped").collect()} == ({"l", "m"} if skipped else set())
+        assert {r.locus for r in compare.selected_pairs(loci, most).where("kind = 'skipped'").collect()} == ({"l", "m"} if skipped else set())
+
+
+def test_cliques_with_their_counts(spark):
+    t = "array<struct<gene_id:bigint,start:bigint,end:bigint,n_exons:bigint,n_utrs:bigint,cds_length:bigint>>"
+    loci = spark.createDataFrame([("l", [(1, 1, 10, 2, 1, 5), (2, 5, 20, 3, 0, 9), (3, 12, 30, 1, 1, None)])], f"locus string, transcripts {t}")
+    got = sorted(tuple(r) for r in compare.enumerated(loci).collect())
+    assert got == [("l", 1, "1", 2, 1, 5, False), ("l", 1, "2", 3, 0, 9, False), ("l", 1, "3", 1, 1, 0, False), ("l", 2, "1,3", 3, 2, 5, False)]
+    assert sorted((r.ids, r.skipped) for r in compare.enumerated(loci, 2).collect()) == [("1", True), ("2", True), ("3", True)]
+    assert compare.enumerated(loci, 0).count() == 4 and compare.enumerated(loci.where("false")).collect() == []
+
+
+def test_protein_maps(spark):
+    from strandline.sources import adapters
+
+    f = spark.createDataFrame([
+        ("f", 1, "locus", "l1", None, "Name=L-1"), ("f", 2, "gene", "g1", "l1", ""), ("f", 3, "mRNA", "m1", "g1", "Name=X-RA"), ("f", 4, "CDS", "c1", "m1", "protein_id=P1;exception=none"),
+        ("f", 5, "CDS", "c1", "m9", "protein_id=P1"), ("f", 6, "CDS", "c2", "m1", "protein_id=P2;exception=rearrangement required for product"), ("f", 7, "CDS", "c3", "lost", "protein_id=P3"),
+        ("f", 8, "gene", "g2", None, ""), ("f", 9, "mRNA", "m2", "g2", "Name=Y"), ("f", 10, "CDS", "c4", "m2", "protein_id=P4"), ("g", 1, "CDS", "c1", "m1", "protein_id=P1"), ("f", 11, "CDS", None, None, None),
+    ], "file_id string, line_no bigint, type string, id string, parent string, attributes string")
+    links = adapters.linked_loci(f, F.regexp_extract("attributes", "Name=([^;]+)", 1))
+    assert [tuple(r) for r in links.collect()] == [("f", "g1", "L-1")]
+    assert [tuple(r) for r in adapters.protein_map(f, links, "refseq").collect()] == [("f", "P1", "L-1")]
+    assert [tuple(r) for r in adapters.protein_map(f, links, "hymbase").collect()] == [("f", "X-PA", "L-1")]
+    assert sorted(tuple(r) for r in adapters.protein_ids(f, "refseq").collect()) == [("f", "P1", 4), ("f", "P2", 6), ("f", "P3", 7), ("f", "P4", 10), ("g", "P1", 1)]
+    assert adapters.protein_map(f.where("false"), links, "tair").collect() == []
+
+
+def test_accessions_of_genbank_pass_on(spark):
+    f = spark.createDataFrame([(1, "gene", "g1", None, "Name=A7"), (2, "mRNA", "m1", "g1", ""), (3, "exon", "e1", "m1", ""), (4, "CDS", "c1", "nowhere", "")], "line_no bigint, type string, id string, parent string, attributes string")
+    f = f.withColumn("file_id", F.lit("f")).withColumn("accession", F.lit(None).cast("string"))
+    got = {r.line_no: r.found for r in O.accessions(f, "genbank").collect()}
+    assert got == {1: "A7", 2: "A7.mRNA", 3: "A7.mRNA", 4: None}
+
+
+def test_sequences_without_genes(spark):
+    r = spark.createDataFrame([("a", 1, 10), ("b", 1, 20)], "seqid string, start bigint, end bigint")
+    g = spark.createDataFrame([("a",), ("a",)], "seqid string")
+    assert [(x.seqid, x.end, x.ilocus_type) for x in loci_ops.without_genes(r, g).collect()] == [("b", 20, "fiLocus")]
+
+
+def test_written_tables_can_be_removed(spark):
+    import os
+
+    from strandline import session
+
+    session.clean(spark)
+    df = session.written(spark.range(3), "test")
+    assert df.count() == 3 and session.clean(spark) == 1 and session.clean(spark) == 0
+    assert not [x for x in os.listdir(session.shared_dir(spark).removeprefix("file://")) if x.startswith("strandline-test-")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from strandline import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class S:
+                    @staticmethod
+                    def getCheckpointDir():
+                        return type("O", (), {"getOrElse": staticmethod(lambda x: None), "isDefined": staticmethod(lambda: False)})
+
+                return S
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            @staticmethod
+            def get(k, d=None):
+                return d
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session)
 
 
 def test_pair_counts_equal_base_by_base():
