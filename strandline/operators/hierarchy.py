@@ -256,7 +256,11 @@ def _depths_in(least: int):
 def _sets_in(t: pa.Table) -> pa.Table:
     f, names = forest_of(t)
     if float(f.sizes()[f.roots].sum()) > UNFOLD * max(f.n, 1000):
-        raise ValueError("a scope has too many chains for its paths to be listed")
+        node, root, depth = f.depths()
+        n = len(node)
+        scope = pa.repeat(t["file_id"][0], n).cast(pa.string()) if n else pa.array([], pa.string())
+        none = pa.nulls(n, pa.int64())
+        return pa.table([scope, _take(names, node), _take(names, root), pa.array(depth, pa.int32()), pa.nulls(n, pa.string()), none, none, none], names=["file_id", "feature_id", "root_id", "depth", "path", "lft", "rgt", "n_below"])
     o = f.occurrences()
     text = pa.array(names, pa.string())
     paths: list[str] = []
@@ -344,10 +348,14 @@ _SETS = "file_id string, feature_id string, root_id string, depth int, path stri
 
 
 def nested_sets(df: DataFrame, scope: str, ident: str, parent: str, *, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Every occurrence of every node without a cycle above: root, depth, path (ids joined by >), range and size below."""
+    """Every occurrence of every node without a cycle above: root, depth, path (ids joined by >), range and size below.
+
+    A scope with more than UNFOLD chains a node has its nodes once for each root, with the longest chain as depth and nulls for
+    the rest: its paths would be too many to write out.
+    """
     small, large = _parted(_rows(df, scope, ident, parent), group_rows)
     found = small.groupBy("file_id").applyInArrow(_sets_in, _SETS)
-    return found if large is None else found.unionByName(_sets_by_joins(large))
+    return found if large is None else found.unionByName(_sets_by_joins(large, group_rows))
 
 
 def descendants(df: DataFrame, scope: str, ident: str, parent: str, *, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -458,11 +466,12 @@ def _depths_by_joins(rows: DataFrame, least: int, group_rows: int) -> DataFrame:
     return out.select(_scope(), F.col("node").alias("feature_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"))
 
 
-def _sets_by_joins(rows: DataFrame) -> DataFrame:
+def _sets_by_joins(rows: DataFrame, group_rows: int) -> DataFrame:
     j = _Joined(rows)
     size = j.sized()
     if j.too_dense(size):
-        raise ValueError("a scope has too many chains for its paths to be listed")
+        none = [F.lit(None).cast(k).alias(c) for c, k in (("path", "string"), ("lft", "bigint"), ("rgt", "bigint"), ("n_below", "bigint"))]
+        return _depths_by_joins(rows, 0, group_rows).where("depth >= 0").select("*", *none)
     o = j.occurrences(size)
     return o.select(_scope(), F.col("node").alias("feature_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "path", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_below"))
 

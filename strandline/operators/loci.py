@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators import lines
+from strandline.session import written
 
 GENE_TYPES = ("siLocus", "ciLocus", "niLocus")
 
@@ -25,21 +26,25 @@ def with_locus(genes: DataFrame) -> DataFrame:
     return lines.islands(genes, ["seqid"], "start", "end", into="locus_start")
 
 
-def merged(genes: DataFrame) -> DataFrame:
-    """seqid, start, end, n_genes and the strand of the first gene of each locus."""
+def merged(genes: DataFrame, /, **more: Column) -> DataFrame:
+    """seqid, start, end, n_genes and the strand of the first gene of each locus, and ``more`` aggregates of its genes."""
     g = with_locus(genes)
     return g.groupBy("seqid", "locus_start").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_genes"), F.min(F.struct("start", "end", "gene_id", "strand")).getField("strand").alias("strand")
-    ).drop("locus_start")
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_genes"), F.min(F.struct("start", "end", "gene_id", "strand")).getField("strand").alias("strand"),
+        *[v.alias(k) for k, v in more.items()],
+    ).drop("locus_start")
 
 
-def extended(loci: DataFrame, regions: DataFrame, delta: int = 500, endmode: int = 0, skip_ii: bool = False) -> DataFrame:
+def extended(loci: DataFrame, regions: DataFrame, delta: int = 500, endmode: int = 0, skip_ii: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Loci stretched by delta, with the intergenic (ii) and end (fi) loci between and around them.
 
     seqid, start, end, core_start, core_end, kind (gene, ii, fi), n_genes, left_overlap, right_overlap, liil, riil, exception,
     orient. The gap before a locus decides: up to one delta, up to two, up to three, or more. ``endmode``: -1 leaves out end
-    loci, 1 leaves out intergenic ones, 0 gives both.
+    loci, 1 leaves out intergenic ones, 0 gives both. Columns named in ``keep`` go with the gene loci, and are null elsewhere.
+
+    The loci are written once first: finding neighbours reads them twice, and would find the islands anew each time.
     """
+    loci = written(loci, "core")
     reg = regions.select("seqid", F.col("start").alias("S"), F.col("end").alias("E"))
     x = lines.neighbours(loci, ["seqid"], ["start", "end"], ["start", "end", "strand"]).join(reg, "seqid")
     d = F.lit(delta)
@@ -75,6 +80,7 @@ def extended(loci: DataFrame, regions: DataFrame, delta: int = 500, endmode: int
         F.lit(kind).alias("kind"), a.cast("bigint").alias("start"), b.cast("bigint").alias("end"),
         *[k.get(c, none).cast("bigint").alias(c) for c in ("core_start", "core_end", "n_genes", "left_overlap", "right_overlap", "liil", "riil")],
         k.get("exception", F.lit(None)).cast("string").alias("exception"), k.get("orient", F.lit(None)).cast("string").alias("orient"),
+        *[(F.col(c) if kind == "gene" else F.lit(None).cast(loci.schema[c].dataType)).alias(c) for c in keep],
     )
     gene = row("gene", F.col("ns"), F.col("ne"), core_start=s, core_end=e, n_genes=F.col("n_genes"), left_overlap=F.col("lo"), right_overlap=F.col("ro"), liil=F.col("li"), riil=F.col("ri"), exception=F.col("ex"))
     fi_l = F.when(F.lit(ends) & (F.col("lc") == "-") & (s >= S + 2 * d) & (s - d - 1 > 0) & (s - d - 1 >= S), row("fi", S, s - d - 1))
@@ -248,8 +254,8 @@ def refined(genes: DataFrame, exons: DataFrame, regions: DataFrame, delta: int =
     x = exons.groupBy("gene_id").agg(
         F.min(F.when(F.col("code") == "C", F.col("start"))).alias("cs"), F.max(F.when(F.col("code") == "C", F.col("end"))).alias("ce"), F.sort_array(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))).alias("exons")
     )
-    g = with_locus(genes).join(x, "gene_id", "left").withColumn("exons", F.coalesce("exons", F.array().cast("array<struct<s:bigint,e:bigint>>")))
-    per = g.groupBy("seqid", "locus_start").agg(F.sort_array(F.collect_list(F.struct("start", "end", "gene_id", "cs", "ce", "exons"))).alias("genes"))
-    wide = extended(merged(genes), regions, delta).where("kind = 'gene'").select("seqid", F.col("core_start").alias("locus_start"), "start", "end", "left_overlap", "right_overlap", "liil", "riil")
-    rows = wide.join(per.where(F.size("genes") > 1), ["seqid", "locus_start"])
-    return rows.select("seqid", "locus_start", "start", "end", "left_overlap", "right_overlap", "liil", "riil", "genes").mapInArrow(_refiner(delta, by_cds, least), _REFINED)
+    g = genes.join(x, "gene_id", "left").withColumn("exons", F.coalesce("exons", F.array().cast("array<struct<s:bigint,e:bigint>>")))
+    of = F.sort_array(F.collect_list(F.struct("start", "end", "gene_id", "cs", "ce", "exons")))
+    core = merged(g, genes=F.when(F.count(F.lit(1)) > 1, of))
+    rows = extended(core, regions, delta, keep=("genes",)).where("kind = 'gene' AND genes IS NOT NULL")
+    return rows.select("seqid", F.col("core_start").alias("locus_start"), "start", "end", "left_overlap", "right_overlap", "liil", "riil", "genes").mapInArrow(_refiner(delta, by_cds, least), _REFINED)

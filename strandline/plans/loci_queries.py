@@ -123,16 +123,20 @@ def _(spark, d):
     return g.groupBy("seqid", F.col("locus_start").alias("start")).agg(F.count(F.lit(1)).alias("child_gene"), n("x").alias("child_exon"), n("C").alias("child_cds"), n("F").alias("child_utr5"), n("T").alias("child_utr3"))
 
 
+def classified_loci(spark, d):
+    """All loci, extended, with their class."""
+    coding = V.exons(spark, d).where("code = 'C'").select("gene_id").distinct().withColumn("c", F.lit(True))
+    core = loci.merged(V.genes(spark, d).join(coding, "gene_id", "left"), coding=F.coalesce(F.max("c"), F.lit(False)))
+    x = loci.extended(core, V.regions(spark, d), 500, keep=("coding",))
+    return x.withColumn("ilocus_type", loci.classified(F.col("kind"), F.col("n_genes"), F.coalesce("coding", F.lit(False))))
+
+
 @C.add("ilocus_classify", W("exons") + _extended() + f""",
 cod AS (SELECT g.seqid, g.isle, coalesce(bool_or(x.code = 'C'), false) AS c FROM m2 g LEFT JOIN exons x ON x.gene_id = g.gene_id GROUP BY ALL)
 SELECT a.seqid, a."start", a."end", CASE kind WHEN 'fi' THEN 'fiLocus' WHEN 'ii' THEN 'iiLocus' ELSE CASE WHEN NOT cod.c THEN 'niLocus' WHEN n_genes > 1 THEN 'ciLocus' ELSE 'siLocus' END END AS ilocus_type
 FROM ({_all(500)}) a LEFT JOIN core ON core.seqid = a.seqid AND core.s = a.core_start LEFT JOIN cod ON cod.seqid = core.seqid AND cod.isle = core.isle""")
 def _(spark, d):
-    coding = V.exons(spark, d).where("code = 'C'").select("gene_id").distinct().withColumn("c", F.lit(True))
-    g = loci.with_locus(V.genes(spark, d)).join(coding, "gene_id", "left")
-    per = g.groupBy("seqid", F.col("locus_start").alias("core_start")).agg(F.coalesce(F.max("c"), F.lit(False)).alias("coding"))
-    x = locus_extend(spark, d).join(per, ["seqid", "core_start"], "left")
-    return x.select("seqid", "start", "end", loci.classified(F.col("kind"), F.col("n_genes"), F.coalesce("coding", F.lit(False))).alias("ilocus_type"))
+    return classified_loci(spark, d).select("seqid", "start", "end", "ilocus_type")
 
 
 @C.add("join_map_gene_locus", W("genes") + _MERGED + " SELECT g.gene_id AS gene, g.seqid || ':' || c.s || '-' || c.e AS locus FROM m2 g JOIN core c ON c.seqid = g.seqid AND c.isle = g.isle")

@@ -52,9 +52,7 @@ t AS (SELECT a.*, CASE kind WHEN 'fi' THEN 'fiLocus' WHEN 'ii' THEN 'iiLocus' EL
 SELECT seqid || '_' || "start" || '-' || "end" AS "LocusPos", seqid AS "SeqID", "end" - "start" + 1 AS "Length", CAST("end" - "start" + 1 - ceil(coalesce(left_overlap, 0) / 2.0) - floor(coalesce(right_overlap, 0) / 2.0) AS BIGINT) AS "EffectiveLength",
 {_COMP}, class AS "LocusClass", coalesce(n_genes, 0) AS "GeneCount", coalesce(orient, 'NA') AS "FlankGeneOrient" FROM t""")
 def ilocus_desc(spark, d):
-    x = L.C.queries["ilocus_classify"](spark, d)
-    x = L.locus_extend(spark, d).join(x, ["seqid", "start", "end"])
-    x = with_sequence(x).withColumn("Length", F.col("end") - F.col("start") + 1)
+    x = with_sequence(L.classified_loci(spark, d)).withColumn("Length", F.col("end") - F.col("start") + 1)
     return summaries.described(
         x, "seq", LocusPos=F.concat("seqid", F.lit("_"), "start", F.lit("-"), "end"), SeqID=F.col("seqid"),
         EffectiveLength=loci.effective_length(F.col("start"), F.col("end"), F.col("left_overlap"), F.col("right_overlap")), LocusClass=F.col("ilocus_type"), GeneCount=F.coalesce("n_genes", F.lit(0)), FlankGeneOrient=F.coalesce("orient", F.lit("NA")),

@@ -9,14 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.session import table, written
+from strandline.session import kept, table
 
 #: Every model sequence has this extent.
 REGION_END = 30_000
 
 
 def genes(spark: SparkSession, d: str) -> DataFrame:
-    """gene_id, seqid, start, end, strand."""
+    """gene_id, seqid, start, end, strand, derived once."""
+    return kept(spark, "genes", d, lambda: _genes(spark, d))
+
+
+def _genes(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     begin = F.datediff(F.col("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("bigint") * 10 + 1
     g = o.select(
@@ -46,7 +50,11 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exons(spark: SparkSession, d: str) -> DataFrame:
-    """gene_id, rn, seqid, strand, start, end, code (C, F or T), and the raw marks that predictions and alignments use."""
+    """gene_id, rn, seqid, strand, start, end, code (C, F or T), and the raw marks that predictions and alignments use; derived once."""
+    return kept(spark, "exons", d, lambda: _exons(spark, d))
+
+
+def _exons(spark: SparkSession, d: str) -> DataFrame:
     p = _parts(spark, d).join(genes(spark, d).select("gene_id", "seqid", "strand", F.col("start").alias("g_start")), "gene_id")
     first = F.min(F.when(F.col("coding"), F.col("rn"))).over(Window.partitionBy("gene_id"))
     before = F.coalesce(F.col("rn") < first, F.lit(True))
@@ -57,7 +65,7 @@ def exons(spark: SparkSession, d: str) -> DataFrame:
 
 def kept_exons(spark: SparkSession, d: str) -> DataFrame:
     """The exons as a written table, for plans that use them many times with different columns."""
-    return written(exons(spark, d), "exons")
+    return exons(spark, d)
 
 
 def predicted(spark: SparkSession, d: str, e: DataFrame | None = None) -> DataFrame:

@@ -6,8 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +89,30 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+_KEPT: dict[tuple[str, ...], str] = {}
+_KEEPING = threading.RLock()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def kept(spark: SparkSession, label: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from a source, written once for an application and read by all plans that use it.
+
+    For inputs that are costly to derive and that one plan reads several times: each reading would derive them anew.
+    """
+    guard(spark)
+    key = (spark.sparkContext.applicationId, label, source)
+    with _KEEPING:
+        if key not in _KEPT or not _exists(spark, _KEPT[key]):
+            path = new_path(spark, label)
+            build().write.parquet(path)
+            _KEPT[key] = path
+        return spark.read.parquet(_KEPT[key])
+
+
 def clean(spark: SparkSession) -> int:
     """Removes what this process has written in the shared folder, once the results that read it are done with; how many."""
     jvm, n = spark.sparkContext._jvm, 0
@@ -94,6 +120,7 @@ def clean(spark: SparkSession) -> int:
         p = jvm.org.apache.hadoop.fs.Path(path)
         n += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
     _WRITTEN.clear()
+    _KEPT.clear()
     return n
 
 

@@ -100,6 +100,17 @@ def test_dense_chains():
     assert sorted(zip(*(x.tolist() for x in hierarchy._reached(small)))) == [(0, 1, 1), (0, 2, 1), (0, 3, 2), (1, 2, 1), (1, 3, 2), (2, 3, 1)]
 
 
+@pytest.mark.parametrize("group_rows", [10, 1_000_000])
+def test_paths_of_a_dense_scope_are_null(spark, group_rows):
+    ladder = [("dense", f"n{k}.{i}", ",".join(f"n{k - 1}.{j}" for j in range(4)) if k else None) for k in range(10) for i in range(4)]
+    df = spark.createDataFrame([*ladder, ("thin", "a", None), ("thin", "b", "a")], "file_id string, id string, parent string")
+    got = hierarchy.nested_sets(df, "file_id", "id", "parent", group_rows=group_rows).collect()
+    assert sorted((r.feature_id, r.depth, r.path) for r in got if r.file_id == "thin") == [("a", 0, "a"), ("b", 1, "a>b")]
+    dense = [r for r in got if r.file_id == "dense"]
+    assert {r.path for r in dense} == {r.lft for r in dense} == {None}
+    assert {(r.feature_id, r.root_id, r.depth) for r in dense} == {(f"n{k}.{i}", f"n0.{j}", k) for k in range(10) for i in range(4) for j in range(4) if k or i == j} and len(dense) == 4 + 9 * 16
+
+
 # 3
 LINES = [
     None, "", "   ", "#c\tx", "\r", "##gff-version 3",
