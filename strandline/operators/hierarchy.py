@@ -6,6 +6,8 @@ preorder ranges, by prefix sums over their sizes, downward. In these nested sets
 search among the roots' ranges, and ancestors and descendants by containment. Nodes that the downward pass never reaches
 are on a cycle or below one; trimmed from below, they leave the cyclic core, whose strongly connected parts are the cycles.
 
+Paths are many more than nodes where nodes have several parents; they are given on a walk in preorder, a batch at a time.
+
 A scope (a file) with at most ``GROUP_ROWS`` rows is worked on in one task, with arrays. Larger scopes are never gathered:
 the same passes run over them as joins, one a level, each written to the shared folder.
 """
@@ -13,6 +15,7 @@ the same passes run over them as joins, one a level, each written to the shared
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -27,8 +30,13 @@ from strandline.session import written
 
 #: Rows of a scope up to which one task works on it.
 GROUP_ROWS = 1_000_000
-#: Occurrences for each node up to which a scope is unfolded; a denser one has its chains counted without unfolding.
+#: Occurrences for each node up to which depths and descendants unfold a scope; in a denser one they go link by link, with the
+#: same results. Paths are always unfolded.
 UNFOLD = 64
+#: Occurrences of a scope up to which doubles count them exactly. More, which no table holds, are an error where ranges are wanted.
+EXACT = 2**53
+#: Rows and bytes of paths in a batch of occurrences.
+BATCH_ROWS, BATCH_BYTES = 50_000, 16_000_000
 
 _PLAIN = re.compile(r"[^ \t,;|/\"']+")
 
@@ -39,6 +47,11 @@ def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count - begin, count)
 
 
+def _countable(paths: float, scope: str | None) -> None:
+    if paths > EXACT:
+        raise OverflowError(f"{paths:.3g} paths in the scope {scope!r}: more than {EXACT} can't be numbered")
+
+
 class Forest:
     """Links of one scope: ``child[i]`` has the parent ``parent[i]``, of n nodes; links are distinct."""
 
@@ -89,30 +102,72 @@ class Forest:
         return size
 
     def occurrences(self) -> dict[str, np.ndarray]:
-        """Nested sets of the unfolded forest: node, depth, lft and size of each occurrence, and the occurrence above."""
+        """Nested sets of the unfolded forest: node, depth, lft and size of each occurrence."""
         size = self.sizes().astype(np.int64)
         inner = np.cumsum(size[self.child]) - size[self.child]
         safe = np.minimum(self.first[:-1], max(len(inner) - 1, 0))
         base = inner[safe] if len(inner) else np.zeros(self.n, np.int64)
         node = self.roots
         lft = np.cumsum(size[node]) - size[node] + 1
-        above = np.full(len(node), -1, np.int64)
-        parts, depth, begun = [], 0, 0
+        parts, depth = [], 0
         while len(node):
-            parts.append((node, np.full(len(node), depth, np.int64), lft, size[node], above))
+            parts.append((node, np.full(len(node), depth, np.int64), lft, size[node]))
             links, count = self.kids(node)
             links_of = np.repeat(np.arange(len(node)), count)
             up_node, up_lft = node[links_of], lft[links_of]
             node = self.child[links]
             lft = up_lft + 1 + inner[links] - base[up_node] if len(links) else links
-            above = begun + links_of
-            begun += len(parts[-1][0])
             depth += 1
-        names = ("node", "depth", "lft", "size", "above")
+        names = ("node", "depth", "lft", "size")
         if not parts:
             return {k: np.zeros(0, np.int64) for k in names}
         return {k: np.concatenate(x) for k, x in zip(names, zip(*parts))}
 
+    def walk(self, names: list[str], scope: str | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+        """Batches (node, root, depth, lft, number below, path) of every occurrence in preorder, roots and children by number.
+
+        However many there are, what is held is a batch, the way from a root to the occurrence, and the links.
+        """
+        size = self.sizes()
+        _countable(float(size[self.roots].sum()), scope)
+        size, first, child = size.astype(np.int64), self.first.tolist(), self.child.tolist()
+        texts = [x.encode() for x in names]
+        path, begun = bytearray(), 0
+        node, root, depth, ends, data = [], [], [], [0], bytearray()
+
+        def batch():
+            at = np.array(node, np.int64)
+            paths = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.array(ends, np.int32)), pa.py_buffer(bytes(data)))
+            return at, np.array(root, np.int64), np.array(depth, np.int32), np.arange(begun + 1, begun + 1 + len(at)), size[at] - 1, paths
+
+        for top in self.roots.tolist():
+            x, links, cuts, cut = top, [], [], 0  # for each node on the way: its links not yet taken, the length of its path
+            while True:
+                del path[cut:]
+                if links:
+                    path += b">"
+                path += texts[x]
+                if len(node) == BATCH_ROWS or node and len(data) + len(path) > BATCH_BYTES:
+                    yield batch()
+                    begun += len(node)
+                    node, root, depth, ends, data = [], [], [], [0], bytearray()
+                node.append(x)
+                root.append(top)
+                depth.append(len(links))
+                data += path
+                ends.append(len(data))
+                if first[x] < first[x + 1]:
+                    links.append(iter(range(first[x], first[x + 1])))
+                    cuts.append(len(path))
+                while links and (at := next(links[-1], -1)) < 0:
+                    links.pop()
+                    cuts.pop()
+                if not links:
+                    break
+                x, cut = child[at], cuts[-1]
+        if node:
+            yield batch()
+
     def root_of(self, lft: np.ndarray) -> np.ndarray:
         """Root whose range holds each preorder number."""
         size = self.sizes().astype(np.int64)[self.roots]
@@ -253,25 +308,16 @@ def _depths_in(least: int):
     return run
 
 
-def _sets_in(t: pa.Table) -> pa.Table:
-    f, names = forest_of(t)
-    if float(f.sizes()[f.roots].sum()) > UNFOLD * max(f.n, 1000):
-        node, root, depth = f.depths()
-        n = len(node)
-        scope = pa.repeat(t["file_id"][0], n).cast(pa.string()) if n else pa.array([], pa.string())
-        none = pa.nulls(n, pa.int64())
-        return pa.table([scope, _take(names, node), _take(names, root), pa.array(depth, pa.int32()), pa.nulls(n, pa.string()), none, none, none], names=["file_id", "feature_id", "root_id", "depth", "path", "lft", "rgt", "n_below"])
-    o = f.occurrences()
+def _sets_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    t = pa.Table.from_batches(batches)
+    scope = t["file_id"][0]
+    f, names = forest_of(t.sort_by("id"))  # nodes are numbered by their ids, so ranges don't hang on the order of the rows
     text = pa.array(names, pa.string())
-    paths: list[str] = []
-    for x, up in zip(o["node"].tolist(), o["above"].tolist()):
-        paths.append(names[x] if up < 0 else paths[up] + ">" + names[x])
-    n = len(paths)
-    return pa.table(
-        [pa.repeat(t["file_id"][0], n).cast(pa.string()) if n else pa.array([], pa.string()), text.take(pa.array(o["node"])), text.take(pa.array(f.root_of(o["lft"]))) if n else pa.array([], pa.string()),
-         pa.array(o["depth"], pa.int32()), pa.array(paths, pa.string()), pa.array(o["lft"]), pa.array(o["lft"] + o["size"] - 1), pa.array(o["size"] - 1)],
-        names=["file_id", "feature_id", "root_id", "depth", "path", "lft", "rgt", "n_below"],
-    )
+    for node, root, depth, lft, below, path in f.walk(names, scope.as_py()):
+        yield pa.RecordBatch.from_arrays(
+            [pa.repeat(scope, len(node)).cast(pa.string()), text.take(pa.array(node)), text.take(pa.array(root)), pa.array(depth), path, pa.array(lft), pa.array(lft + below), pa.array(below)],
+            names=["file_id", "feature_id", "root_id", "depth", "path", "lft", "rgt", "n_below"],
+        )
 
 
 def _reached(f: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -350,12 +396,12 @@ _SETS = "file_id string, feature_id string, root_id string, depth int, path stri
 def nested_sets(df: DataFrame, scope: str, ident: str, parent: str, *, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Every occurrence of every node without a cycle above: root, depth, path (ids joined by >), range and size below.
 
-    A scope with more than UNFOLD chains a node has its nodes once for each root, with the longest chain as depth and nulls for
-    the rest: its paths would be too many to write out.
+    Ranges run through each scope in preorder, roots and children by their ids. There is a row for each chain from a root, of
+    which a scope with many parents a node may have far more than rows; a scope with more than EXACT is an error.
     """
     small, large = _parted(_rows(df, scope, ident, parent), group_rows)
     found = small.groupBy("file_id").applyInArrow(_sets_in, _SETS)
-    return found if large is None else found.unionByName(_sets_by_joins(large, group_rows))
+    return found if large is None else found.unionByName(_sets_by_joins(large))
 
 
 def descendants(df: DataFrame, scope: str, ident: str, parent: str, *, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -368,9 +414,6 @@ def descendants(df: DataFrame, scope: str, ident: str, parent: str, *, group_row
 
 # scopes too large for one task
 
-#: Buckets that the children of one node are spread over when their sizes are summed.
-BUCKETS = 1024
-
 
 class _Joined:
     """The passes over scopes that are never gathered: each step is a join or an aggregate, each level a written table.
@@ -426,14 +469,20 @@ class _Joined:
         total = size.join(self.roots, ["file_id", "node"], "left_semi").agg(F.sum("size")).first()[0] or 0.0
         return total > UNFOLD * max(self.nodes.count(), 1000)
 
+    def countable(self, size: DataFrame) -> None:
+        total = size.join(self.roots, ["file_id", "node"], "left_semi").groupBy("file_id").agg(F.sum("size").alias("n")).where(F.col("n") > EXACT).first()
+        if total:
+            _countable(total.n, None if total.file_id.n else total.file_id.s)
+
     @staticmethod
     def _before(df: DataFrame, keys: list[str], node: str) -> DataFrame:
-        """Adds ``before``: the sum of the sizes of earlier rows of the keys, in two steps, so that no key is one task's."""
-        df = df.withColumn("_b", F.pmod(F.xxhash64(node), F.lit(BUCKETS)))
+        """Adds ``before``: the sum of the sizes of the keys' rows with smaller nodes, in two steps over ranges of keys and
+        nodes, so that no key is one task's."""
+        df = written(df.repartitionByRange(*keys, node).withColumn("_b", F.spark_partition_id()), "ranges")
         sums = df.groupBy(*keys, "_b").agg(F.sum("size").alias("_t"))
         sums = sums.withColumn("_base", F.sum("_t").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_t")).drop("_t")
         inner = F.sum("size").over(Window.partitionBy(*keys, "_b").orderBy(node)) - F.col("size")
-        return df.join(sums, [*keys, "_b"]).withColumn("before", (F.col("_base") + inner).cast("bigint")).drop("_b", "_base")
+        return df.withColumn("_inner", inner).join(sums, [*keys, "_b"]).withColumn("before", (F.col("_base") + F.col("_inner")).cast("bigint")).drop("_b", "_base", "_inner")
 
     def occurrences(self, size: DataFrame) -> DataFrame:
         """Nested sets of the unfolded forest: node, root, depth, path, lft and size of each occurrence."""
@@ -466,12 +515,10 @@ def _depths_by_joins(rows: DataFrame, least: int, group_rows: int) -> DataFrame:
     return out.select(_scope(), F.col("node").alias("feature_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"))
 
 
-def _sets_by_joins(rows: DataFrame, group_rows: int) -> DataFrame:
+def _sets_by_joins(rows: DataFrame) -> DataFrame:
     j = _Joined(rows)
     size = j.sized()
-    if j.too_dense(size):
-        none = [F.lit(None).cast(k).alias(c) for c, k in (("path", "string"), ("lft", "bigint"), ("rgt", "bigint"), ("n_below", "bigint"))]
-        return _depths_by_joins(rows, 0, group_rows).where("depth >= 0").select("*", *none)
+    j.countable(size)
     o = j.occurrences(size)
     return o.select(_scope(), F.col("node").alias("feature_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "path", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_below"))
 

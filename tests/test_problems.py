@@ -111,6 +111,59 @@ def test_paths_of_a_dense_scope_are_null(spark, group_rows):
     assert {(r.feature_id, r.root_id, r.depth) for r in dense} == {(f"n{k}.{i}", f"n0.{j}", k) for k in range(10) for i in range(4) for j in range(4) if k or i == j} and len(dense) == 4 + 9 * 16
 
 
+def _sets(data):
+    """Every chain from a root, by recursion: (file, node, root, depth, path, lft, rgt, number below)."""
+    nodes, links = _links([(*d, 0) for d in data])
+    kids = {}
+    for c, p in links:
+        kids.setdefault(p, []).append(c)
+    out, last = [], {}
+
+    def down(x, way):
+        f = x[0]
+        at = last[f] = last.get(f, 0) + 1
+        for k in sorted(kids.get(x, ()), key=lambda k: k[1].encode()):
+            down(k, [*way, k[1]])
+        out.append((f, x[1], way[0], len(way) - 1, ">".join(way), at, last[f], last[f] - at))
+
+    for x in sorted(nodes - {c for c, _ in links}, key=lambda x: x[1].encode()):
+        down(x, [x[1]])
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("group_rows", [0, 1_000_000])
+def test_paths_at_any_density(spark, group_rows):
+    """With and without more than UNFOLD chains a node, in one task or by joins: every chain, and the same ranges."""
+    rnd = random.Random(3)
+    data = [("dense", f"n{k}.{i}", ",".join(f"n{k - 1}.{j}" for j in range(4)) if k else None) for k in range(8) for i in range(4)]
+    data += [(None, f"{'é' if i % 3 else 'Z'}{i}", None) for i in range(5)] + [("thin", f"x{i}", f"x{rnd.randrange(i)};x{rnd.randrange(i)}" if i > 2 else None) for i in range(30)]
+    data += [("thin", "on", "on"), ("thin", "below", "on"), ("round", "a", "b"), ("round", "b", "a")]
+    rnd.shuffle(data)
+    want = _sets(data)
+    assert sum(w[0] == "dense" for w in want) == sum(4**k for k in range(1, 9)) > hierarchy.UNFOLD * 1000
+    df = spark.createDataFrame(data, "file_id string, id string, parent string").repartition(3)
+    assert rows(hierarchy.nested_sets(df, "file_id", "id", "parent", group_rows=group_rows)) == want
+
+
+def test_paths_come_in_batches(monkeypatch):
+    import numpy as np
+
+    names = [f"n{i:03}" for i in range(121)]
+    diamonds = [(3 * k + c, 3 * k + p) for k in range(40) for c, p in ((1, 0), (2, 0), (3, 1), (3, 2))]
+    f = hierarchy.Forest(121, *(np.array(x) for x in zip(*diamonds)))
+    node, root, depth, lft, below, path = next(f.walk(names))  # of 2 ** 42 chains the first are there at once
+    assert 0 < len(node) <= hierarchy.BATCH_ROWS and lft[0] == 1 and lft[-1] == len(node) and set(root.tolist()) == {0}
+    assert below[0] == 2**42 - 4 and path[2].as_py() == "n000>n001>n003" and depth[2] == 2
+    monkeypatch.setattr(hierarchy, "BATCH_BYTES", 30)
+    small = hierarchy.Forest(4, np.array([1, 2, 2, 3]), np.array([0, 0, 1, 2]))
+    got = list(small.walk(names))
+    assert [p for b in got for p in b[5].to_pylist()] == ["n000", "n000>n001", "n000>n001>n002", "n000>n001>n002>n003", "n000>n002", "n000>n002>n003"]
+    assert len(got) > 2 and np.concatenate([b[3] for b in got]).tolist() == [1, 2, 3, 4, 5, 6]
+    more = hierarchy.Forest(181, *(np.array(x) for x in zip(*[(3 * k + c, 3 * k + p) for k in range(60) for c, p in ((1, 0), (2, 0), (3, 1), (3, 2))])))
+    with pytest.raises(OverflowError):
+        next(more.walk(names * 2))
+
+
 # 3
 LINES = [
     None, "", "   ", "#c\tx", "\r", "##gff-version 3",
